@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulon.llm.bpe_tree import encode_decode
 from tabulon.llm.common import table
 from tabulon.llm.packing import pack_matched, pack_sequences
+from tabulon.llm.repetition import repetition_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,16 +21,24 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op7_matched_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_matched(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, 2)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_packed_sequences, op7_matched_packing)}
+    return {f.__name__: f for f in (op1_repetition_rules, op3_packed_sequences, op6_bpe_tree, op7_matched_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
