@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm.bpe_tree import encode_decode
 from tabulon.llm.common import table
+from tabulon.llm.licenses import license_scan
+from tabulon.llm.media import media_columns
 from tabulon.llm.packing import pack_matched, pack_sequences
 from tabulon.llm.repetition import repetition_rules
 
@@ -29,6 +31,10 @@ def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -37,8 +43,12 @@ def op7_matched_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_matched(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, 2)
 
 
+def op8_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents")).drop("codec", "seconds", "key_frames")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repetition_rules, op3_packed_sequences, op6_bpe_tree, op7_matched_packing)}
+    return {f.__name__: f for f in (op1_repetition_rules, op3_packed_sequences, op5_license_diagonals, op6_bpe_tree, op7_matched_packing, op8_iso_media)}
 
 
 def oracle_sql() -> dict[str, str]:
