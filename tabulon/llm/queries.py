@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm.bpe_tree import encode_decode
 from tabulon.llm.common import table
+from tabulon.llm.html_text import main_text
 from tabulon.llm.licenses import license_scan
 from tabulon.llm.media import media_columns
 from tabulon.llm.packing import pack_matched, pack_sequences
@@ -47,8 +48,12 @@ def op8_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents")).drop("codec", "seconds", "key_frames")
 
 
+def op9_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repetition_rules, op3_packed_sequences, op5_license_diagonals, op6_bpe_tree, op7_matched_packing, op8_iso_media)}
+    return {f.__name__: f for f in (op1_repetition_rules, op3_packed_sequences, op5_license_diagonals, op6_bpe_tree, op7_matched_packing, op8_iso_media, op9_page_differencing)}
 
 
 def oracle_sql() -> dict[str, str]:
