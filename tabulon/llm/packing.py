@@ -29,6 +29,9 @@ from pyspark.sql import types as T
 from tabulon.llm.common import arrow_schema, stage, text_slices
 from tabulon.llm.tokenizing import byte_bpe
 
+#: Rows of (part, length) counts that are broadcast at most (24 bytes each); more of them are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
 PIECE = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("piece", T.IntegerType()),
@@ -183,7 +186,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
                     ids = np.append(ids, np.uint32(end_id))
                 for piece, (start, length) in enumerate(cut(len(ids), capacity, short_first)):
                     own = ids[start : start + length]
-                    row = (key, piece, start, length, zlib.crc32(own.astype("<u4").tobytes()), part, seen[length])
+                    row = (key, piece, start, length, None if with_ids else zlib.crc32(own.astype("<u4").tobytes()), part, seen[length])
                     rows.append((*row, own.astype(kind).tobytes()) if with_ids else row)
                     seen[length] += 1
             if rows:
@@ -198,8 +201,10 @@ def placed(pieces: DataFrame, capacity: int, planner) -> DataFrame:
     per_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = per_part.select(F.col("part").alias("_part"), F.col("length").alias("_length"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_before"))
-    counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect() if r["length"]}  # at most `capacity` rows
-    plan = planner(counts, capacity).table()
+    totals = per_part.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()  # at most `capacity` rows
+    if sum(r["rows"] for r in totals) <= BROADCAST_ROWS:
+        before = F.broadcast(before)
+    plan = planner({r["length"]: r["n"] for r in totals if r["length"]}, capacity).table()
     ranked = pieces.join(before, (F.col("part") == F.col("_part")) & (F.col("length") == F.col("_length"))).withColumn("rank", F.col("rank") + F.col("_before")).drop("_part", "_length", "_before")
     schema = T.StructType([*(f for f in ranked.schema.fields if f.name not in ("part", "rank")), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     out = arrow_schema(schema)
