@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabulon.llm import quality, toxicity
 from tabulon.llm.bpe_tree import encode_decode
 from tabulon.llm.common import table
 from tabulon.llm.html_text import main_text
@@ -32,6 +34,12 @@ def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).withColumn("n_offending", F.size("offending")).drop("offending")
+
+
 def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -52,8 +60,13 @@ def op9_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repetition_rules, op3_packed_sequences, op5_license_diagonals, op6_bpe_tree, op7_matched_packing, op8_iso_media, op9_page_differencing)}
+    return {f.__name__: f for f in (op1_repetition_rules, op3_packed_sequences, op4_toxicity_noisy_or, op5_license_diagonals, op6_bpe_tree, op7_matched_packing, op8_iso_media, op9_page_differencing, op10_quality_cotraining)}
 
 
 def oracle_sql() -> dict[str, str]:
