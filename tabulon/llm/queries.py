@@ -13,6 +13,7 @@ from tabulon.llm.common import table
 from tabulon.llm.html_text import main_text
 from tabulon.llm.licenses import license_scan
 from tabulon.llm.media import media_columns
+from tabulon.llm.ngram_join import jaccard_components
 from tabulon.llm.packing import pack_matched, pack_sequences
 from tabulon.llm.repetition import repetition_rules
 
@@ -30,6 +31,10 @@ def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -66,7 +71,7 @@ def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repetition_rules, op3_packed_sequences, op4_toxicity_noisy_or, op5_license_diagonals, op6_bpe_tree, op7_matched_packing, op8_iso_media, op9_page_differencing, op10_quality_cotraining)}
+    return {f.__name__: f for f in (op1_repetition_rules, op2_ngram_jaccard_join, op3_packed_sequences, op4_toxicity_noisy_or, op5_license_diagonals, op6_bpe_tree, op7_matched_packing, op8_iso_media, op9_page_differencing, op10_quality_cotraining)}
 
 
 def oracle_sql() -> dict[str, str]:
