@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from tabulon.llm.common import arrow_schema, stage, text_slices
 
 OTHER, MAIN, DROP = 0, 1, 2
+#: Pages with shared blocks and such blocks that are broadcast at most; more of them are joined by a shuffle of the texts.
+BROADCAST_NUMBERS = 4_000_000
 #: Elements that end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -258,7 +260,10 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    shared = nearest(lines).join(own, "row").join(other, "partner").select("row", "hashes", "roles", "other").mapInArrow(align, SHARED)
+    shared = stage(nearest(lines).join(own, "row").join(other, "partner").select("row", "hashes", "roles", "other").mapInArrow(align, SHARED), "shared")
+    size = shared.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("shared")), F.lit(0)).alias("blocks")).first()
+    if size["rows"] + size["blocks"] <= BROADCAST_NUMBERS:  # else both sides are shuffled
+        shared = F.broadcast(shared)
     wanted = F.when(F.array_contains("roles", MAIN), MAIN).otherwise(OTHER)
     kept = F.filter("blocks", lambda x, i: (F.get("roles", i) == wanted) & ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i))
     done = lines.drop("hashes", "host", "path").join(shared, "row", "left").withColumn("text", F.array_join(kept, "\n"))
