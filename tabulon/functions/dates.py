@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabulon.functions.value import NA, NUM, VALUE, Val, as_number, as_text, errors, failed, finite, function, lift
+from tabulon.functions.value import NA, NUM, VALUE, Val, as_number, as_text, bind, errors, failed, finite, function, lift
 
 LAST = 2958466.0  # the first serial after year 9999
 EPOCH = "1899-12-30"
@@ -126,8 +126,16 @@ def _days(end, start):
     return finite((F.floor(a.col) - F.floor(b.col)).cast("double"), errors(a, b))
 
 
+def with_dates(s: Column, e: Column, f) -> Column:
+    """f of the dates of two serials, each evaluated once."""
+    return bind(F.struct(date_of(s).alias("a"), date_of(e).alias("b")), lambda d: f(d["a"], d["b"]))
+
+
 def days360(s: Column, e: Column, european: Column) -> Column:
-    a, b = date_of(s), date_of(e)
+    return with_dates(s, e, lambda a, b: _days360_of(a, b, european))
+
+
+def _days360_of(a: Column, b: Column, european: Column) -> Column:
     d1 = F.least(F.dayofmonth(a), F.lit(30))
     d2 = F.when(european | (d1 == 30), F.least(F.dayofmonth(b), F.lit(30))).otherwise(F.dayofmonth(b))
     return (F.year(b) - F.year(a)) * 360 + (F.month(b) - F.month(a)) * 30 + d2 - d1
@@ -144,8 +152,11 @@ def _days360(start, end, method=None):
 def year_fraction(s: Column, e: Column, basis: Column) -> Column:
     lo, hi = F.least(s, e), F.greatest(s, e)
     days = F.floor(hi) - F.floor(lo)
-    y1, y2 = F.year(date_of(lo)), F.year(date_of(hi))
-    length = F.datediff(F.make_date(y2 + 1, F.lit(1), F.lit(1)), F.make_date(y1, F.lit(1), F.lit(1))) / (y2 - y1 + 1)
+
+    def mean_year(a: Column, b: Column) -> Column:
+        return F.datediff(F.make_date(F.year(b) + 1, F.lit(1), F.lit(1)), F.make_date(F.year(a), F.lit(1), F.lit(1))) / (F.year(b) - F.year(a) + 1)
+
+    length = with_dates(lo, hi, mean_year)
     return F.when(basis == 0, days360(lo, hi, F.lit(False)) / 360).when(basis == 1, days / length).when(basis == 2, days / 360).when(basis == 3, days / 365).when(basis == 4, days360(lo, hi, F.lit(True)) / 360)
 
 
@@ -159,18 +170,21 @@ def _yearfrac(start, end, basis=None):
 @function("DATEDIF", least=3, most=3)
 def _datedif(start, end, unit):
     a, b, u = as_number(start), as_number(end), as_text(unit)
-    d1, d2, code = date_of(a.col), date_of(b.col), F.upper(u.col)
-    short = F.when(F.dayofmonth(d2) < F.dayofmonth(d1), 1).otherwise(0)
-    months = (F.year(d2) - F.year(d1)) * 12 + F.month(d2) - F.month(d1) - short
-    anniversary = F.add_months(d1, F.floor(months / 12).cast("int") * 12)
-    value = (
-        F.when(code == "D", F.floor(b.col) - F.floor(a.col))
-        .when(code == "M", months)
-        .when(code == "Y", F.floor(months / 12))
-        .when(code == "YM", months % 12)
-        .when(code == "MD", F.datediff(d2, F.add_months(d1, months)))
-        .when(code == "YD", F.datediff(d2, anniversary))
-    )
+    code = F.upper(u.col)
+
+    def counted(d1: Column, d2: Column) -> Column:
+        short = F.when(F.dayofmonth(d2) < F.dayofmonth(d1), 1).otherwise(0)
+        months = (F.year(d2) - F.year(d1)) * 12 + F.month(d2) - F.month(d1) - short
+        return (
+            F.when(code == "D", F.datediff(d2, d1))
+            .when(code == "M", months)
+            .when(code == "Y", F.floor(months / 12))
+            .when(code == "YM", months % 12)
+            .when(code == "MD", F.datediff(d2, F.add_months(d1, months)))
+            .when(code == "YD", F.datediff(d2, F.add_months(d1, F.floor(months / 12).cast("int") * 12)))
+        )
+
+    value = F.when(code == "D", F.floor(b.col) - F.floor(a.col)).otherwise(with_dates(a.col, b.col, counted))
     return Val(value.cast("double"), "number", errors(a, b, u, own=F.when((b.col < a.col) | ~valid(a.col) | ~valid(b.col) | value.isNull(), NUM)))
 
 

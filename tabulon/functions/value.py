@@ -145,8 +145,17 @@ def as_number(v: Val) -> Val:
     return Val(F.when(v.col.isNull(), 0.0).otherwise(x), "number", errors(v, own=F.when(v.col.isNotNull() & x.isNull(), VALUE)))
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f holds it: plans stay as long as what is written."""
+    return F.get(F.transform(F.array(x), lambda y: f(y)), F.lit(0))
+
+
 def number_text(x: Column) -> Column:
     """15 significant digits; powers of ten outside [1e-10, 1e21)."""
+    return bind(x, _number_text)
+
+
+def _number_text(x: Column) -> Column:
     size = F.abs(x)
     digits = (F.lit(14) - F.floor(F.log10(F.when(size > 0, size).otherwise(1.0)))).cast("int")
     whole = (x == F.floor(x)) & (size < 1e15)

@@ -58,10 +58,10 @@ def diff_rows(old: DataFrame, new: DataFrame) -> DataFrame:
         return made.withColumn("turn", F.row_number().over(order)).withColumnRenamed("row", f"{name}_row")
 
     both = rows(old, "old").join(rows(new, "new"), ["sheet", "digest", "turn"], "full_outer").drop("turn")
-    gone = both.filter("new_row is null").select("sheet", "old_row")
-    come = both.filter("old_row is null").select("sheet", "new_row")
-    pairs = gone.join(come, (gone["sheet"] == come["sheet"]) & (gone["old_row"] == come["new_row"]), "full_outer")
-    return pairs.select(F.coalesce(gone["sheet"], come["sheet"]).alias("sheet"), "old_row", "new_row", F.when(F.col("old_row").isNull(), "inserted").when(F.col("new_row").isNull(), "removed").otherwise("changed").alias("change"))
+    gone = both.filter("new_row is null").select("sheet", F.col("old_row").alias("row"), "old_row")
+    come = both.filter("old_row is null").select("sheet", F.col("new_row").alias("row"), "new_row")
+    pairs = gone.join(come, ["sheet", "row"], "full_outer")
+    return pairs.select("sheet", "old_row", "new_row", F.when(F.col("old_row").isNull(), "inserted").when(F.col("new_row").isNull(), "removed").otherwise("changed").alias("change"))
 
 
 def insert_rows(cells: DataFrame, sheet: str, at: int, n: int) -> DataFrame:

@@ -67,7 +67,10 @@ def contained(left: DataFrame, right: DataFrame, key: str, text: str, how: str =
     keys = left.select(F.upper(transformed(F.col(key), how)).alias("left_key")).filter(F.length("left_key") > 0).withColumn("n", F.least(F.length("left_key"), F.lit(least)))
     keys = keys.withColumn("gram", F.substring("left_key", F.lit(1), F.col("n")))
     texts = right.select(F.monotonically_increasing_id().alias("row"), F.upper(transformed(F.col(text), how)).alias("t"))
-    grams = F.array_distinct(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - k + 1, F.lit(1))), lambda i, k=k: F.substring(F.col("t"), i, F.lit(k))) for k in range(1, least + 1)))))
+    def pieces(k: int):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - k + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(k)))
+
+    grams = F.array_distinct(F.flatten(F.array(*map(pieces, range(1, least + 1)))))
     hits = keys.select("left_key", "gram").distinct().join(texts.select("row", "t", F.explode(grams).alias("gram")), "gram").filter(F.contains("t", "left_key"))
     found = hits.groupBy("left_key").agg(F.count_distinct("row").alias("n_candidates"))
     return keys.select("left_key").join(found, "left_key", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
