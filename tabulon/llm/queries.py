@@ -74,5 +74,20 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_repetition_rules, op2_ngram_jaccard_join, op3_packed_sequences, op4_toxicity_noisy_or, op5_license_diagonals, op6_bpe_tree, op7_matched_packing, op8_iso_media, op9_page_differencing, op10_quality_cotraining)}
 
 
+#: The whole join by all pairs that share a shingle.
+JACCARD_SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as shingle from d
+), n as (select doc_id, count(*) as n from s group by doc_id
+), met as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2
+), links as (select x, y from met join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)
+), both_ways as (select x, y from links union all select y, x from links
+), reach(x, y) as (select doc_id, doc_id from documents union select r.x, b.y from reach r join both_ways b on r.y = b.x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least as component_id from d left join n using (doc_id) join (select x as doc_id, min(y) as least from reach group by x) using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_jaccard_join": JACCARD_SQL}
