@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import aggregates as A
+from tabulon.functions import tests_of_samples as S
 from tabulon.operators.criteria import all_of, criterion, database, dget
 from tabulon.plans.registry import query, r4
 
@@ -217,3 +218,21 @@ def fvschedule(t):
 def prob(t):
     inside = F.sum(F.when(F.col("l_quantity").between(10, 20), 1.0))
     return t.lineitem.agg(r4(inside / F.count("*"), "prob", 6))
+
+
+# Without SQL for tails and roots: held against published values in the tests.
+
+
+@query()
+def sample_tests(t):
+    rows = t.lineitem.select("l_returnflag", "l_linestatus", F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).alias("x"), F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).alias("y"))
+    p = S.t_test(rows, "x", "y", 2, 3, ["l_returnflag"]).withColumnRenamed("p", "t_test")
+    return p.join(S.f_test(rows, "x", "y", ["l_returnflag"]).withColumnRenamed("p", "f_test"), "l_returnflag").join(S.z_test(t.lineitem, "l_quantity", 25.5, by=["l_returnflag"]).withColumnRenamed("p", "z_test"), "l_returnflag")
+
+
+@query()
+def irr_by_customer(t):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    flows = t.orders.select("o_custkey", "o_orderkey", F.row_number().over(w).alias("k"), "o_totalprice")
+    signed = flows.withColumn("flow", F.when(F.col("k") == 1, -2 * F.col("o_totalprice")).otherwise(F.col("o_totalprice") / 2))
+    return S.irr(signed, "o_custkey", ["k"], "flow")
