@@ -8,7 +8,7 @@ whole texts' sets.
 
 Equal sets form one class first, so that copies cost nothing. A block of similar documents does not need all its pairs:
 only components are asked for. First every member is compared with one hub of the block; components follow; then, in
-another round, with another hub where a block still spans several components; and last all pairs that still join
+further rounds, with another hub where a block still spans several components; and last all pairs that still join
 different components. Pairs inside a component are never formed, so groups of near copies take linear work, and no link
 between different components is missed.
 
@@ -38,6 +38,10 @@ SKETCH_BITS = 21
 SKETCH_BLOCKS = 32
 #: Rows of two numbers that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Shingles in open blocks that a node's rows carry as a list at most.
+LISTED = 1024
+#: Members of a block whose pairs are formed without lists at most.
+SMALL_BLOCK = 8
 
 PROFILE = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -207,7 +211,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: i
     for turn in range(rounds):
         open_ = spanning(links, label)
         if turn < rounds - 1:
-            hub = open_.groupBy("shingle").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("hub"))
+            hub = open_.groupBy("shingle").agg(F.max(F.struct(F.xxhash64("node", "shingle", F.lit(turn)).alias("h"), "node", "n", "component")).alias("hub"))
             new = open_.join(hub, "shingle").filter((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n"))).select(*pair(F.col("node"), F.col("hub.node"))).distinct()
         else:
             new = overlapping(open_, percent)
@@ -229,20 +233,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: i
 def spanning(links: DataFrame, label: DataFrame) -> DataFrame:
     """The links of blocks that span several components, with components; written, as two joins read them."""
     marked = links.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = marked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
-    return stage(marked.join(several, "shingle").select("shingle", "node", "n", "place", "component"), "open")
+    several = marked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low <> high").drop("low", "high")
+    return stage(marked.join(several, "shingle").select("shingle", "node", "n", "component", "members"), "open")
 
 
 def overlapping(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components whose overlap can reach the bound, by the counts that their common blocks accumulate."""
-    x = open_.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "component")))
-    y = open_.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "component")))
+    """Pairs across components whose overlap can reach the bound.
+
+    In large blocks a pair is formed once, at the least large block that has both, and the number of such blocks, with
+    the small blocks of either, bounds its overlap inside both prefixes. All other common shingles lie behind the prefix
+    that ends first, so that the overlap is at most that number plus what stands behind the longer rest. Small blocks, and
+    nodes with very many shingles in large ones, do not carry lists along: their pairs are formed at every common shingle
+    and put together afterwards.
+    """
+    large = F.col("members") > SMALL_BLOCK
+    own = open_.groupBy("node").agg(F.collect_set(F.when(large, F.col("shingle"))).alias("own"), F.count_if(~large).alias("few"))
+    listed = F.when(large & (F.size("own") <= LISTED), F.col("own"))
+    rows = stage(open_.join(own, "node").select("shingle", "node", "n", "component", "few", listed.alias("own")), "open")
+    x, y = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in ("shingle", "node", "n", "component", "few", "own"))) for side in "ab")
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    possible = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    met = x.join(y, "shingle").filter(possible)
-    sums = met.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("overlap"), F.min(rest).alias("rest"))
-    return sums.filter(F.col("overlap") - 1 + F.col("rest") >= need).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    rest = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / 100) - 1
+    common = F.array_intersect("own_a", "own_b")
+    listed = F.col("own_a").isNotNull() & F.col("own_b").isNotNull()
+    enough = ~listed | (F.when(F.size(common) + F.least("few_a", "few_b") + rest >= need, F.array_min(common)) == F.col("shingle_a"))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    possible = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & sizes & F.coalesce(enough, F.lit(False))
+    return x.join(y, (F.col("shingle_a") == F.col("shingle_b")) & possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
