@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.criteria import all_of, grid_condition
+from tabulon.session import stage
 
 
 def natural(col: Column) -> Column:
@@ -14,14 +15,33 @@ def natural(col: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
 
 
-def sort_rows(df: DataFrame, *keys: tuple[str, str], text: tuple[str, ...] = (), tie: str | None = None) -> DataFrame:
-    """Rows by several keys, each ("asc" or "desc"); blanks come last either way; ``tie`` keeps ties in their order."""
+def sort_order(*keys: tuple[str, str], text: tuple[str, ...] = (), tie: str | None = None) -> list[Column]:
+    """The order of several keys, each ("asc" or "desc"); blanks come last either way; ``tie`` keeps ties in their order."""
     order = []
     for name, way in keys:
         x = natural(F.col(name)) if name in text else F.col(name)
         blank = F.col(name).isNull() | (F.col(name).cast("string") == "")
         order += [blank.asc(), x.desc() if way == "desc" else x.asc()]
-    return df.orderBy(*order, *([F.col(tie)] if tie else []))
+    return [*order, *([F.col(tie)] if tie else [])]
+
+
+def sort_rows(df: DataFrame, *keys: tuple[str, str], text: tuple[str, ...] = (), tie: str | None = None) -> DataFrame:
+    """Rows by several keys, as ``sort_order`` has them."""
+    return df.orderBy(*sort_order(*keys, text=text, tie=tie))
+
+
+def with_places(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """Rows with their place (from 1) in the given order. Ranges of the order are sorted by tasks of their own and written;
+    a row's place is its place in its range after the rows of the ranges before, of which only the counts are collected."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = stage(placed, "places")  # ranges are sampled anew in each run
+    part, before, total = F.shiftright("_id", 33), [], 0
+    for p, n in sorted(placed.groupBy(part.cast("int")).count().collect()):  # a row a range
+        before.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "_part int, _before long")
+    both = placed.join(F.broadcast(offsets), part.cast("int") == F.col("_part"))
+    return both.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_part", "_before")
 
 
 def page(df: DataFrame, number: int, size: int = 10) -> DataFrame:

@@ -47,6 +47,11 @@ def product_small(t):
     return t.lineitem.filter("l_orderkey < 500").groupBy((F.col("l_orderkey") % 10).alias("bucket")).agg(r4(A.agg("PRODUCT", 1 + F.col("l_tax")), "value"))
 
 
+@query("select l_orderkey, round(exp(sum(ln(1 + l_tax))), 4) as value from lineitem group by 1")
+def product_by_order(t):
+    return t.lineitem.groupBy("l_orderkey").agg(r4(A.agg("PRODUCT", 1 + F.col("l_tax")), "value"))
+
+
 @query("select avg(coalesce(try_cast(p_name as double), 0)) as average, max(coalesce(try_cast(p_name as double), 0)) as most, round(stddev_pop(coalesce(try_cast(p_name as double), 0)), 4) as spread from part")
 def a_kinds(t):
     return t.part.agg(A.agg("AVERAGEA", "p_name").alias("average"), A.agg("MAXA", "p_name").alias("most"), r4(A.agg("STDEVPA", "p_name"), "spread"))

@@ -82,6 +82,24 @@ def sort_natural(t):
     return O.sort_rows(t.supplier.select(F.concat(F.lit("item"), "s_suppkey").alias("label")), ("label", "asc"), text=("label",)).limit(30)
 
 
+@query("select row_number() over (order by b, c_acctbal desc, c_custkey) as place, c_custkey from (select c_custkey, case when c_acctbal >= 0 then c_acctbal end as c_acctbal, c_acctbal < 0 as b from customer)")
+def sort_blanks_last_all(t):
+    blanked = t.customer.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"))
+    return O.with_places(blanked, *O.sort_order(("c_acctbal", "desc"), tie="c_custkey")).select("place", "c_custkey")
+
+
+@query("select row_number() over (order by c_mktsegment, c_acctbal desc, c_custkey) as place, c_custkey, c_mktsegment, c_acctbal from customer")
+def sort_multi_all(t):
+    order = O.sort_order(("c_mktsegment", "asc"), ("c_acctbal", "desc"), text=("c_mktsegment",), tie="c_custkey")
+    return O.with_places(t.customer, *order).select("place", "c_custkey", "c_mktsegment", "c_acctbal")
+
+
+@query("select row_number() over (order by s_suppkey) as place, 'item' || s_suppkey as label from supplier")
+def sort_natural_all(t):
+    labels = t.supplier.select(F.concat(F.lit("item"), "s_suppkey").alias("label"))
+    return O.with_places(labels, *O.sort_order(("label", "asc"), text=("label",))).select("place", "label")
+
+
 @query("select c_custkey from customer order by c_custkey limit 10 offset 20")
 def page_n(t):
     return O.page(t.customer.orderBy("c_custkey"), 3).select("c_custkey")
@@ -242,6 +260,12 @@ def reconcile_key_digits(t):
     return R.reconcile(some.select(F.concat(F.lit("Order #"), "o_orderkey").alias("k"), "o_orderstatus"), some.select(F.col("o_orderkey").cast("string").alias("k"), "o_orderstatus"), "k", ["o_orderstatus"], how="digits").select("key", "status")
 
 
+@query("select cast(o_orderkey as varchar) as key, 'matched' as status from orders")
+def reconcile_key_digits_all(t):
+    left, right = (t.orders.select(k.alias("k"), "o_orderstatus") for k in (F.concat(F.lit("Order #"), "o_orderkey"), F.col("o_orderkey").cast("string")))
+    return R.reconcile(left, right, "k", ["o_orderstatus"], how="digits").select("key", "status")
+
+
 @query("select upper(regexp_replace(b, '[^A-Za-z0-9]', '', 'g')) as left_key, (select count(*) from supplier where contains(upper(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')), upper(regexp_replace(b, '[^A-Za-z0-9]', '', 'g')))) as n_candidates from (select substring(cast(1000 + n_nationkey as varchar), 2) as b from nation)")
 def reconcile_contains(t):
     return R.contained(t.nation.select(F.substring((F.col("n_nationkey") + 1000).cast("string"), 2, 9).alias("k")), t.supplier, "k", "s_name")

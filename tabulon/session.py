@@ -1,12 +1,13 @@
-"""Makes this package importable in Python workers, wherever the driver was started."""
+"""Makes this package importable in Python workers, wherever the driver was started; durable intermediate results."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -25,3 +26,20 @@ def ship(spark: SparkSession) -> SparkSession:
                         package.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(home)))
         context.addPyFile(path)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where it is unset (one machine, as in tests), a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", "")
+    if not path:
+        path = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -107,3 +107,11 @@ def test_aggregates_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     row = df.agg(*(A.agg(n, "x").alias(n.replace(".", "_")) for n in A.AGGREGATES)).first().asDict()
     assert row["SUM"] == 0 and row["COUNT"] == 0 and row["MAX"] == 0 and row["AVERAGE"] is None and row["VAR_S"] is None and row["SKEW"] is None
+
+
+def test_places(spark):
+    rows = [(k, None if k % 7 == 0 else float(k * 37 % 101)) for k in range(1000)]
+    table = spark.createDataFrame(rows, "k long, x double").repartition(5)
+    got = {r["k"]: r["place"] for r in O.with_places(table, *O.sort_order(("x", "desc"), tie="k")).collect()}
+    assert got == {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])))}
+    assert O.with_places(table.limit(0), "k").count() == 0
