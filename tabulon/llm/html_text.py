@@ -2,11 +2,12 @@
 
 Every page becomes blocks of text with a role: inside an article or main element, inside a container that says that it
 is something else (menu, footer, advert, form, comment ...), or neither. Pages of a host are put in the order of their
-URL paths; each is paired with the neighbour whose path shares the longest beginning. The blocks of both are aligned by
-their longest common subsequence and shared blocks are deleted, unless they stand inside a declared article (a copy or
-quotation of an article elsewhere on the host is still its text). What remains of the blocks that have another role goes
-too. A page that declares an article keeps the article alone. A pair in which all blocks without a role are shared are
-copies of one page; such a pair deletes nothing from either.
+URL paths; each is paired with the neighbour of different content whose path shares the longest beginning (copies of a
+page that follow each other are skipped: contents are equal where all blocks are that no container says is something
+else). The blocks of both are aligned by their longest common subsequence and shared blocks are deleted, unless they
+stand inside a declared article (a copy or quotation of an article elsewhere on the host is still its text). Blocks of
+containers that say that they are something else go too. Blocks beside an article stay if the neighbour does not have
+them.
 
 The order is made by a range partitioning of keys alone, so that a host with a third of all pages is spread over tasks;
 alignment moves hashes of blocks, not texts.
@@ -176,8 +177,11 @@ ORDERED = T.StructType([
     T.StructField("row", T.LongType()),
     T.StructField("host", T.StringType()),
     T.StructField("path", T.StringType()),
+    T.StructField("content", T.LongType()),
     T.StructField("part", T.IntegerType()),
-    T.StructField("place", T.LongType()),
+    T.StructField("run", T.LongType()),
+    T.StructField("last", T.StructType([T.StructField("row", T.LongType()), T.StructField("path", T.StringType())])),
+    T.StructField("next", T.StructType([T.StructField("row", T.LongType()), T.StructField("path", T.StringType())])),
 ])
 SHARED = T.StructType([T.StructField("row", T.LongType()), T.StructField("shared", T.ArrayType(T.IntegerType()))])
 
@@ -208,29 +212,62 @@ def extract_lines(pages: DataFrame, page_id: str, url: str, html: str) -> DataFr
 
 
 def nearest(lines: DataFrame) -> DataFrame:
-    """(row, partner): the neighbour in the order of (host, path) that shares the longest beginning of the path."""
+    """(row, partner): the neighbour of other content in the order of (host, path) that shares the longest beginning of the
+    path. Pages of equal content that follow each other are a run; all of a run have the same two neighbours."""
     out = arrow_schema(ORDERED)
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, place = TaskContext.get().partitionId(), 0
+        part, n, run, last = TaskContext.get().partitionId(), 0, [], None
+
+        def done(next_: dict | None) -> Iterator[pa.RecordBatch]:
+            sides = [None if x is None or x["host"] != run[0]["host"] else {"row": x["row"], "path": x["path"]} for x in (last, next_)]
+            for at in range(0, len(run), 10_000):
+                made.extend({**x, "part": part, "run": n, "last": sides[0], "next": sides[1]} for x in run[at : at + 10_000])
+                if len(made) >= 10_000:
+                    yield pa.RecordBatch.from_pylist(made, schema=out)
+                    made.clear()
+
+        made: list[dict] = []
         for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64())], schema=out)
-            place += n
-
-    keys = lines.select("row", "host", "path")
-    ordered = stage(keys.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").mapInArrow(number, ORDERED), "ordered")
-    counts = sorted(ordered.groupBy("part").count().collect())  # a row a partition
-    before, total = [], 0
-    for part, n in counts:
-        before.append((part, total))
-        total += n
-    offsets = lines.sparkSession.createDataFrame(before, "part int, before long")
-    at = ordered.join(F.broadcast(offsets), "part").select("row", "host", "path", (F.col("before") + F.col("place")).alias("at"))
-    last, next_ = (at.select((F.col("at") + step).alias("at"), "host", *(F.col(c).alias(f"{c}_{name}") for c in ("row", "path"))) for step, name in ((1, "last"), (-1, "next")))
-    both = at.join(last, ["at", "host"], "left").join(next_, ["at", "host"], "left")
+            for x in batch.to_pylist():
+                if run and (run[0]["host"], run[0]["content"]) != (x["host"], x["content"]):
+                    yield from done(x)
+                    last, n, run = run[-1], n + 1, []
+                run.append(x)
+        if run:
+            yield from done(None)
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=out)
+
+    spoken = F.filter(F.arrays_zip("hashes", "roles"), lambda x: x["roles"] != DROP)
+    keys = lines.select("row", "host", "path", F.xxhash64(F.transform(spoken, lambda x: x["hashes"])).alias("content"))
+    ordered = stage(keys.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").mapInArrow(neighbours, ORDERED), "ordered")
+    ends = ordered.groupBy("part").agg(
+        F.max("run").alias("runs"), *(f(F.struct("host", "content", "row", "path", "last", "next"), F.struct("host", "path", "row")).alias(name) for name, f in (("first", F.min_by), ("final", F.max_by)))
+    )
+    ends = sorted(ends.collect(), key=lambda x: x["part"])  # a row a partition
+
+    def beyond(i: int, step: int) -> tuple | None:
+        """The page of other content next to a range's first (step -1) or last run, in the ranges before or after it."""
+        own = ends[i]["first" if step < 0 else "final"]
+        near, side = ("final", "last") if step < 0 else ("first", "next")
+        while 0 <= (i := i + step) < len(ends):
+            x = ends[i][near]
+            if x["host"] != own["host"]:
+                return None
+            if x["content"] != own["content"]:
+                return x["row"], x["path"]
+            if ends[i]["runs"]:
+                return x[side]
+        return None
+
+    kind = "struct<row: long, path: string>"
+    borders = lines.sparkSession.createDataFrame([(x["part"], x["runs"], beyond(i, -1), beyond(i, 1)) for i, x in enumerate(ends)], f"part int, runs long, before {kind}, after {kind}")
+    both = ordered.join(F.broadcast(borders), "part").select(
+        "row", "path", F.when(F.col("run") == 0, F.col("before")).otherwise(F.col("last")).alias("last"), F.when(F.col("run") == F.col("runs"), F.col("after")).otherwise(F.col("next")).alias("next")
+    )
 
     def beginning(c: str):
         """Characters that two paths share at their beginning."""
@@ -238,7 +275,7 @@ def nearest(lines: DataFrame) -> DataFrame:
         differs = F.filter(letters, lambda i: F.substring(F.col("path"), i, F.lit(1)) != F.substring(F.col(c), i, F.lit(1)))
         return F.when(F.col(c).isNull(), -1).otherwise(F.coalesce(F.try_element_at(differs, F.lit(1)) - 1, F.length("path")))
 
-    partner = F.when(beginning("path_next") > beginning("path_last"), F.col("row_next")).otherwise(F.col("row_last"))
+    partner = F.when(beginning("next.path") > beginning("last.path"), F.col("next.row")).otherwise(F.col("last.row"))
     return both.select("row", partner.alias("partner")).filter("partner is not null")
 
 
@@ -252,9 +289,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         for batch in batches:
             rows = []
             for row, a, roles, b in zip(*(batch.column(c).to_pylist() for c in ("row", "hashes", "roles", "other"))):
-                shared = common_subsequence(a, b)
-                free = [i for i, r in enumerate(roles) if r == OTHER]
-                shared = [] if free and {*free} <= {*shared} else [i for i in shared if roles[i] != MAIN]
+                shared = [i for i in common_subsequence(a, b) if roles[i] != MAIN]
                 if shared:
                     rows.append((row, shared))
             if rows:
@@ -264,7 +299,6 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     size = shared.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("shared")), F.lit(0)).alias("blocks")).first()
     if size["rows"] + size["blocks"] <= BROADCAST_NUMBERS:  # else both sides are shuffled
         shared = F.broadcast(shared)
-    wanted = F.when(F.array_contains("roles", MAIN), MAIN).otherwise(OTHER)
-    kept = F.filter("blocks", lambda x, i: (F.get("roles", i) == wanted) & ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i))
+    kept = F.filter("blocks", lambda x, i: (F.get("roles", i) != DROP) & ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i))
     done = lines.drop("hashes", "host", "path").join(shared, "row", "left").withColumn("text", F.array_join(kept, "\n"))
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size(F.coalesce("shared", F.array())).alias("n_shared"))

@@ -316,6 +316,39 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_differencing(spark):
+    side = "<div>teasers everywhere</div><article>teaser of {0}</article><div>text {0}</div>"
+    copy, menus = "<p>menu</p><p>the copied text</p>", "<p>menu</p>"
+    rows = [(1, "http://a/x/1", side.format("one")), (2, "http://a/x/2", side.format("two"))]
+    rows += [(10 + i, f"http://b/c/{i}", copy) for i in range(9)] + [(20, "http://b/d", menus), (21, "http://b/d/1", menus), (22, "http://b/d/2", "<p>menu</p><p>last</p>")]
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()}
+        assert got == {1: "teaser of one\ntext one", 2: "teaser of two\ntext two", **{10 + i: "the copied text" for i in range(9)}, 20: "", 21: "", 22: "last"}
+
+
+def test_html_runs(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice("pq"), f"/{rnd.randint(0, 3)}/{i}", [rnd.choice([1, 1, 1, 2, 3])]) for i in range(200)]
+    order = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    want = {}
+    for at, (row, host, path, content) in enumerate(order):
+        sides = [next((r for r in side if r[1] == host and r[3] != content), None) for side in (order[:at][::-1], order[at + 1 :])]
+        shared = [-1 if r is None else next((i for i, (x, y) in enumerate(zip(path, r[2])) if x != y), min(len(path), len(r[2]))) for r in sides]
+        best = sides[1] if shared[1] > shared[0] else sides[0]
+        want[row] = best and best[0]
+    lines = spark.createDataFrame(rows, "row long, host string, path string, hashes array<long>").withColumn("roles", F.array(F.lit(0)))
+    for partitions in ("4", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {r["row"]: r["partner"] for r in html_text.nearest(lines).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == {k: v for k, v in want.items() if v is not None}
+
+
 # 10. Quality.
 
 
