@@ -32,17 +32,21 @@ from pyspark.sql import types as T
 from tabulon.llm.common import arrow_schema, stage, text_slices
 
 OTHER, MAIN, DROP = 0, 1, 2
+#: Dropped for a name alone, outside an article: an article inside it starts afresh.
+NAMED = 3
 #: Pages with shared blocks and such blocks that are broadcast at most; more of them are joined by a shuffle of the texts.
 BROADCAST_NUMBERS = 4_000_000
 #: Elements that end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
-NOT_TEXT = frozenset("aside button dialog footer form head iframe math menu nav noscript object option search select svg template textarea title video audio canvas".split())
-#: Words of class, id or role that say so.
+NOT_TEXT = frozenset("aside button dialog footer form head iframe menu nav noscript object option search select svg template textarea title video audio canvas".split())
+#: Whole names of class, id or role that say so.
 NOT_TEXT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar aside comment comments disqus cookie cookies consent gdpr notice notices alert banner "
-    "menu nav navbar navigation breadcrumb breadcrumbs footer contentinfo complementary popup modal overlay newsletter subscribe signup social share sharing related recommended widget search pagination pager toolbar".split()
+    "menu nav navbar navigation breadcrumb breadcrumbs footer contentinfo complementary popup modal overlay newsletter subscribe signup social share sharing related recommended widget search pagination pager toolbar "
+    "cookie-notice cookie-banner cookie-consent nav-bar nav-menu site-nav site-footer share-buttons social-share related-posts comment-list".split()
 )
 #: An element of this kind ends an open one of the same kind.
 REPEATING = frozenset("p li dt dd tr td th option".split())
@@ -51,18 +55,31 @@ TAG = re.compile(
     r"|<[/a-zA-Z][^>]*(?:>|\Z)",  # quotes that do not end
     re.S | re.I,
 )
-NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMING = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
-def is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
+def is_dropped(tag: str, attributes: str, in_article: bool) -> int:
+    """DROP or NAMED where the element says that it is something else, or 0. In an article an id is an anchor; a heading's
+    names tell of its text."""
     if tag in NOT_TEXT or tag == "header" and not in_article:
-        return True
+        return DROP
     if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
-        return False
+        return 0
     if HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)) or re.search(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attributes, re.I):
-        return True
-    return any(not NOT_TEXT_WORDS.isdisjoint(re.split(r"[\s_-]+", (a or b or c).lower())) for a, b, c in NAMING.findall(attributes))
+        return DROP
+    if tag in HEADINGS:
+        return 0
+    names = {x for kind, a, b, c in NAMING.findall(attributes) if not (in_article and kind.lower() == "id") for x in (a or b or c).lower().split()}
+    return 0 if NOT_TEXT_WORDS.isdisjoint(names) else DROP if in_article or tag in ("article", "main") else NAMED
+
+
+def role_inside(role: int, tag: str, attributes: str) -> int:
+    """The role inside an element that stands in ``role``."""
+    if role == DROP:
+        return DROP
+    article = tag in ("article", "main") or 'role="main"' in attributes
+    return is_dropped(tag, attributes, role == MAIN) or (MAIN if role == MAIN or article else role)
 
 
 def blocks_of(page: str) -> list[tuple[str, int]]:
@@ -76,7 +93,7 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         if text:
             block = " ".join("".join(text).split())
             if block:
-                found.append((block, role))
+                found.append((block, min(role, DROP)))
             text.clear()
 
     at = 0
@@ -106,7 +123,7 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
                 while open_.pop()[0] != tag:
                     pass
                 role = open_[-1][1] if open_ else OTHER
-            inner = DROP if role == DROP or is_dropped(tag, m[4], role == MAIN) else MAIN if role == MAIN or tag in ("article", "main") or 'role="main"' in m[4] else OTHER
+            inner = role_inside(role, tag, m[4])
             if inner != role:
                 flush()
             role = inner

@@ -327,6 +327,16 @@ def test_html_differencing(spark):
         assert got == {1: "teaser of one\ntext one", 2: "teaser of two\ntext two", **{10 + i: "the copied text" for i in range(9)}, 20: "", 21: "", 22: "last"}
 
 
+def test_html_names():
+    def kept(page):
+        return [b for b, role in html_text.blocks_of(page) if role != html_text.DROP]
+
+    assert kept('<div class="site has-sidebar"><article>a</article></div><div class="sidebar"><p>x</p><main>b</main><p>y</p></div>') == ["a", "b"]
+    assert kept('<article><section id="related-work"><h2 id="market-share">h</h2>s</section><p class="search-history">p</p><p>of <math><mi>x</mi></math></article>') == ["h", "s", "p", "of x"]
+    assert kept('<article>a<h3 class="related">h</h3><div class="post comments"><article>c</article></div><section id="search">s</section></article>') == ["a", "h", "s"]
+    assert kept('<nav><article>x</article></nav><div id="sidebar">x</div><div role="navigation">x</div><div hidden>x</div><article class="comment">x</article><div data-id="menu">d</div>') == ["d"]
+
+
 def test_html_runs(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.choice("pq"), f"/{rnd.randint(0, 3)}/{i}", [rnd.choice([1, 1, 1, 2, 3])]) for i in range(200)]
