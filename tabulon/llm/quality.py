@@ -7,8 +7,10 @@ rounds each labels the unlabelled rows that it is most sure of, for the other vi
 calibrated on labelled rows that neither was fitted on, and a logistic combination of the calibrated log-odds scores all
 documents.
 
-Fitting uses at most ``max_labelled`` labelled and ``max_unlabelled`` unlabelled rows, those with the smallest hash of
-doc_id (documented bounds; a row is some 80 numbers by then); every document is scored from its whole text.
+Fitting uses at most ``max_labelled`` labelled rows, those with the smallest hash of doc_id (a documented bound). All
+unlabelled rows take part: their features are written once, each pass over them adds up a view's gradient and Hessian or
+counts its sure rows, and tasks send those sums alone. Which rows are taught follows from the models and cuts of the
+rounds before and is not stored. Every document is scored from its whole text.
 
 A null or empty text has no words and is scored by what its views say of that; null metadata counts as its own value;
 repeated rows get equal scores; without labelled rows of both classes every score is the base rate (0.5 without labels).
@@ -16,7 +18,8 @@ repeated rows get equal scores; without labelled rows of both classes every scor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import arrow_schema, text_slices
+from tabulon.llm.common import arrow_schema, stage, text_slices
 from tabulon.llm.repetition import flat
 from tabulon.llm.toxicity import held_out
 
@@ -33,11 +36,12 @@ CONTENT = ["ends_in_signs", "shouts", "repeats", "bars", "digits", "variety", "w
 BASE_METADATA = ["log_chars", "lines", "line_length", "longest_line", "blank_lines", "letters", "capitals", "signs", "spaces", "log_bytes_a_char"]
 #: Hash buckets of the metadata's two names.
 SOURCES, LANGS = 32, 16
+#: Buckets of log-odds, and of hashes among equal log-odds, by which a round's surest rows are cut off.
+BUCKETS = 4096
 
 FEATURES = T.StructType([
     T.StructField("doc_id", T.LongType()),
-    T.StructField("content", T.ArrayType(T.FloatType())),
-    T.StructField("metadata", T.ArrayType(T.FloatType())),
+    T.StructField("x", T.BinaryType()),
 ])
 SCORES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -104,7 +108,8 @@ def featured(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(v), pa.list_(pa.float32())) for v in views(batch))], schema=out)
+            x = np.concatenate(views(batch), 1).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], schema=out)
 
     return inputs(docs).mapInArrow(run, FEATURES)
 
@@ -140,6 +145,7 @@ class CoTrained:
 
     def __init__(self, base: float = 0.5):
         self.base = base
+        self.n_unlabelled = 0  # rows of the pool that the views taught each other on
         self.views: list[Logistic] = []
         self.calibrations: list[Logistic] = []
         self.mix: Logistic | None = None
@@ -151,7 +157,121 @@ class CoTrained:
         return sigmoid(self.mix.odds(np.stack(odds, 1))), sigmoid(odds[0]), sigmoid(odds[1])
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, unlabelled: list[np.ndarray], rounds: int = 5, share: float = 0.1, sure: float = 0.95) -> CoTrained:
+Total = Callable[[Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]]], list[np.ndarray] | None]
+
+
+def both_views(rows: list[bytes]) -> list[np.ndarray]:
+    x = np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1) if rows else np.zeros((0, len(CONTENT) + len(BASE_METADATA) + SOURCES + LANGS), "<f4")
+    return [x[:, : len(CONTENT)], x[:, len(CONTENT) :]]
+
+
+def total_over(rows: DataFrame) -> Total:
+    """The sum of f(views, hashes) over the batches of all rows (x, hash); None without rows."""
+
+    def total(f):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                if batch.num_rows:
+                    got = f(both_views(batch.column("x").to_pylist()), batch.column("hash").to_numpy())
+                    out = got if out is None else [a + b for a, b in zip(out, got)]
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)], pa.binary())], names=["sums"])
+
+        parts = [pickle.loads(r[0]) for r in rows.mapInArrow(run, "sums binary").collect()]  # a row a task, some 60 numbers square
+        return [sum(x) for x in zip(*parts)] if parts else None
+
+    return total
+
+
+def bucket(odds: np.ndarray, sure: float) -> np.ndarray:
+    """The bucket of log-odds, -1 if they are less than sure."""
+    least = np.log(sure / (1 - sure))
+    return np.where(odds >= least, np.minimum((odds - least) / (30 - least) * BUCKETS, BUCKETS - 1), -1).astype(int)
+
+
+def sides(models: list[Logistic], x: list[np.ndarray]) -> Iterator[tuple[int, float, np.ndarray]]:
+    """(view that is taught, label, log-odds of that label) of the four ways to teach."""
+    for v in range(2):
+        odds = models[v].odds(x[v])
+        yield 1 - v, 1.0, odds
+        yield 1 - v, 0.0, -odds
+
+
+def taught(history: list, x: list[np.ndarray], hashes: np.ndarray, sure: float) -> list[np.ndarray]:
+    """A view's pseudo-labels, given by the other in the rounds so far: rows above the cut bucket, and those in it whose
+    hash is below the cut's."""
+    labels = [np.full(len(hashes), np.nan) for _ in range(2)]
+    for models, cuts in history:
+        for (to, label, odds), (at, most) in zip(sides(models, x), cuts):
+            b = bucket(odds, sure)
+            labels[to][np.isnan(labels[to]) & ((b > at) | (b == at) & (hashes < most))] = label
+    return labels
+
+
+def surest(models: list[Logistic], history: list, total: Total, most: int, sure: float) -> list[tuple[int, int]]:
+    """The cut (bucket, hash) of each way to teach, so that at most ``most`` new rows are above it."""
+
+    def count(cuts: list[int] | None):
+        def f(x, hashes):
+            known, out = taught(history, x, hashes, sure), []
+            for k, (to, _, odds) in enumerate(sides(models, x)):
+                b = bucket(odds, sure)
+                free = np.isnan(known[to]) & (b >= 0 if cuts is None else b == cuts[k])
+                out.append(np.bincount((b if cuts is None else hashes)[free], minlength=BUCKETS))
+            return out
+
+        return f
+
+    counts = total(count(None))
+    above = [np.cumsum(c[::-1])[::-1] for c in counts]  # rows in a bucket or above it
+    at = [int(np.flatnonzero(a > most)[-1]) if a[0] > most else -1 for a in above]
+    inside = total(count(at)) if max(at) >= 0 else counts
+    return [(0, BUCKETS) if b < 0 else (b, int(np.searchsorted(np.cumsum(i), most - (a[b] - c[b]), "right"))) for b, i, a, c in zip(at, inside, above, counts)]
+
+
+def fit_views(labelled: list[np.ndarray], y: np.ndarray, history: list, total: Total, sure: float, ridge: float = 1.0, steps: int = 25) -> list[Logistic]:
+    """Both views' ``Logistic`` by Newton steps on sums over labelled and taught rows, from zero: steps from the round before's
+    weights can diverge."""
+
+    def over(f: Callable[[int, np.ndarray, np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
+        own = [a for v in range(2) for a in f(v, labelled[v].astype(float), y)]
+
+        def pool(x, hashes):
+            known = taught(history, x, hashes, sure)
+            return [a for v in range(2) for a in f(v, x[v][~np.isnan(known[v])].astype(float), known[v][~np.isnan(known[v])])]
+
+        more = total(pool) if history else None
+        return own if more is None else [a + b for a, b in zip(own, more)]
+
+    center = [x.astype(float).mean(0) for x in labelled]  # near the mean, so that squares lose no digits
+    moments = over(lambda v, x, _: [np.array(float(len(x))), (x - center[v]).sum(0), ((x - center[v]) ** 2).sum(0)])
+    models = []
+    for v in range(2):
+        n, first, second = moments[3 * v : 3 * v + 3]
+        m = Logistic.__new__(Logistic)
+        m.mean, m.scale = center[v] + first / n, np.maximum(np.sqrt(np.maximum(second / n - (first / n) ** 2, 0)), 1e-3)
+        m.w = np.zeros(len(m.mean) + 1)
+        models.append(m)
+
+    def newton(v: int, x: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+        m = models[v]
+        z = np.c_[(x - m.mean) / m.scale, np.ones(len(x))]
+        p = 1 / (1 + np.exp(-np.clip(z @ m.w, -30, 30)))
+        return [z.T @ (label - p), (z.T * (p * (1 - p) + 1e-6)) @ z]
+
+    for _ in range(steps):
+        sums, far = over(newton), 0.0
+        for v, m in enumerate(models):
+            penalty = np.r_[np.full(len(m.mean), ridge), 1e-6]
+            step = np.linalg.solve(sums[2 * v + 1] + np.diag(penalty), sums[2 * v] - penalty * m.w)
+            m.w, far = m.w + step, max(far, np.abs(step).max())
+        if far < 1e-6:
+            break
+    return models
+
+
+def co_train(labelled: list[np.ndarray], y: np.ndarray, total: Total, rounds: int = 5, share: float = 0.1, sure: float = 0.95) -> CoTrained:
     """Every fifth labelled row is for calibration; the rest starts both views, which then teach each other.
 
     A round hands over at most ``share`` of the unlabelled rows a class, the surest ones, and only those with a
@@ -165,35 +285,27 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, unlabelled: list[np.ndar
     if len(np.unique(y[fitting])) < 2:
         fitting = np.ones(len(y), bool)
     model = CoTrained()
-    taught = [np.full(len(unlabelled[0]), np.nan) for _ in range(2)]  # a view's pseudo-labels, given by the other
-    for _ in range(rounds + 1):
-        model.views = []
-        for v in range(2):
-            known = ~np.isnan(taught[v])
-            model.views.append(Logistic(np.r_[labelled[v][fitting], unlabelled[v][known]], np.r_[y[fitting], taught[v][known]]))
-        for v in range(2):
-            p = sigmoid(model.views[v].odds(unlabelled[v])) if len(taught[v]) else np.zeros(0)
-            other, most = taught[1 - v], int(share * len(p))
-            for label, confidence in ((1.0, p), (0.0, 1 - p)):
-                free = np.flatnonzero(np.isnan(other) & (confidence >= sure))
-                other[free[np.argsort(-confidence[free], kind="stable")[:most]]] = label
+    known, history = [x[fitting] for x in labelled], []
+    size = total(lambda x, hashes: [np.array(len(hashes))])
+    model.n_unlabelled = int(size[0]) if size else 0
+    model.views = fit_views(known, y[fitting], history, total, sure)
+    for _ in range(rounds if model.n_unlabelled else 0):
+        history.append((model.views, surest(model.views, history, total, int(share * model.n_unlabelled), sure)))
+        model.views = fit_views(known, y[fitting], history, total, sure)
     odds = [v.odds(x[for_calibration])[:, None] for v, x in zip(model.views, labelled)]
     model.calibrations = [Logistic(z, y[for_calibration]) for z in odds]
     model.mix = Logistic(np.concatenate([c.odds(z)[:, None] for c, z in zip(model.calibrations, odds)], 1), y[for_calibration])
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 8000, max_unlabelled: int = 8000) -> CoTrained:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 8000) -> CoTrained:
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    first = (F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.filter(~held_out("doc_id")).orderBy(*first).limit(max_labelled)
-    others = docs.select("doc_id").filter("doc_id is not null").distinct().join(marks, "doc_id", "left_anti").orderBy(*first).limit(max_unlabelled).withColumn("label", F.lit(None).cast("int"))
-    sample = docs.join(F.broadcast(chosen.unionByName(others)), "doc_id")
-    rows = featured(sample).join(F.broadcast(chosen), "doc_id", "left").select("doc_id", "label", "content", "metadata").toPandas()  # at most both bounds, without repeated ids
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    known = rows["label"].notna().to_numpy()
-    parts = [np.array(rows[c].tolist(), np.float32).reshape(len(rows), width) for c, width in (("content", len(CONTENT)), ("metadata", len(BASE_METADATA) + SOURCES + LANGS))]
-    return co_train([p[known] for p in parts], rows["label"][known].to_numpy(float), [p[~known] for p in parts])
+    chosen = marks.filter(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    one = featured(docs.filter("doc_id is not null")).groupBy("doc_id").agg(F.min("x").alias("x"))  # repeated ids count once
+    rows = stage(one.join(marks.select("doc_id", F.lit(True).alias("marked")), "doc_id", "left"), "features")
+    own = rows.filter("marked").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "x").orderBy("doc_id").collect()  # at most max_labelled
+    pool = rows.filter("marked is null").select("x", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("hash"))
+    return co_train(both_views([bytes(r["x"]) for r in own]), np.array([r["label"] for r in own], float), total_over(pool))
 
 
 def score_documents(docs: DataFrame, model: CoTrained, limit: float = 0.5) -> DataFrame:

@@ -373,6 +373,33 @@ def test_quality(spark, odd):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in quality.score_documents(docs, model).filter("kept").collect()}
 
 
+def test_quality_pool(spark):
+    """All unlabelled rows take part, and sums over Spark tasks give the model of one batch in memory."""
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("plain words of text number "), "id")).otherwise(F.concat(F.lit("## $$ 7 || BUY!! "), "id")).alias("text"))
+    labels = spark.range(100).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).alias("quality"))
+    model = quality.train(docs, labels)
+    assert model.n_unlabelled == 8900
+
+    rnd = np.random.default_rng(5)
+    y = (rnd.random(4000) < 0.5) * 1.0
+    width = len(quality.BASE_METADATA) + quality.SOURCES + quality.LANGS
+    x = [(rnd.normal(size=(4000, n)) + y[:, None] * 0.8).astype("<f4") for n in (len(quality.CONTENT), width)]
+    hashes = rnd.integers(0, quality.BUCKETS, 4000)
+    rows = spark.createDataFrame([(r.tobytes(), int(h)) for r, h in zip(np.concatenate(x, 1)[200:], hashes[200:])], "x binary, hash long").repartition(5)
+    known = [v[:200] for v in x]
+    here = quality.co_train(known, y[:200], lambda f: f([v[200:] for v in x], hashes[200:]))
+    there = quality.co_train(known, y[:200], quality.total_over(rows))
+    assert all(np.allclose(a.w, b.w, atol=1e-4) for a, b in zip(here.views, there.views))
+    models, most = quality.fit_views(known, y[:200], [], lambda f: None, 0.95), 100
+    cuts = quality.surest(models, [], lambda f: f([v[200:] for v in x], hashes[200:]), most, 0.95)
+    given = quality.taught([(models, cuts)], [v[200:] for v in x], hashes[200:], 0.95)
+    for to in range(2):
+        odds = models[1 - to].odds(x[1 - to][200:])
+        for label, o in ((1, odds), (0, -odds)):
+            took = given[to] == label
+            assert 90 <= took.sum() <= most and o[took].min() >= np.sort(o)[-most] - 0.01
+
+
 # The pipeline.
 
 
