@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,9 +30,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset (one machine, as in tests), a temporary one."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset a temporary one, on one machine (as in tests) only:
+    executors elsewhere would write where nobody reads."""
     path = spark.conf.get("spark.checkpoint.dir", "")
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,3 +47,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that no later step reads."""
+    for df in staged:
+        spark, files = df.sparkSession, df.inputFiles()
+        home = f"{shared_dir(spark)}/"
+        for folder in {f.rsplit("/", 1)[0] for f in files}:
+            if re.sub(r"^file:/+", "/", home) in re.sub(r"^file:/+", "/", folder) + "/":
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
