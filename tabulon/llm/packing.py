@@ -118,7 +118,7 @@ class Plan:
                 if room is not None:
                     self.put(length, room)
                 else:
-                    self.start(length, -(-self.left[length] // (self.capacity // length)))
+                    self.start(length, max(1, self.left[length] // (self.capacity // length)))  # full bins, then one for the rest
 
     def table(self) -> np.ndarray:
         return np.array(sorted(self.rows), np.int64).reshape(-1, 5)
@@ -291,6 +291,50 @@ def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     return rows.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(run, SEQUENCE)
 
 
-def write_packed(sequences: DataFrame, path: str) -> None:
-    """Write packed sequences as Parquet: id matrix rows, cumulative segment lengths and position resets."""
-    sequences.write.option("compression", "zstd").parquet(path)
+PACKED = T.StructType([
+    T.StructField("sequence_id", T.LongType()),
+    T.StructField("n_tokens", T.IntegerType()),
+    T.StructField("ids", T.BinaryType()),
+    T.StructField("cu_seqlens", T.BinaryType()),
+    T.StructField("position_ids", T.BinaryType()),
+    T.StructField("doc_ids", T.ArrayType(T.LongType())),
+    T.StructField("starts", T.ArrayType(T.LongType())),
+])
+
+
+def write_packed(sequences: DataFrame, path: str, capacity: int = 1024, pad_id: int = 0) -> None:
+    """Write packed sequences as rows of binary matrices, in Parquet.
+
+    ids: ``capacity`` little-endian unsigned 32-bit ids, ``pad_id`` behind the last token; position_ids: as many positions,
+    which start again at 0 with each segment and go on from 0 in the padding; cu_seqlens: the segments' cumulative
+    lengths, from 0. ``read_packed`` gives the table back; ``matrices`` gives a batch of its rows as numpy arrays.
+    """
+    out = arrow_schema(PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_tokens").to_numpy()
+            inside = np.arange(capacity) < n[:, None]
+            ids, places = np.full(inside.shape, pad_id, "<u4"), np.maximum(np.arange(capacity) - n[:, None], 0).astype("<u4")
+            ids[inside] = plain(batch.column("ids"), inside.sum())
+            places[inside] = plain(batch.column("position_ids"), inside.sum())
+            lengths = [np.asarray(x, "<u4").tobytes() for x in batch.column("cu_seqlens").to_pylist()]
+            columns = {"ids": pa.array([r.tobytes() for r in ids], pa.binary()), "position_ids": pa.array([r.tobytes() for r in places], pa.binary()), "cu_seqlens": pa.array(lengths, pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns.get(f.name, batch.column(f.name)) for f in out], schema=out)
+
+    def plain(lists: pa.Array, total: int) -> np.ndarray:
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        assert len(values) == total, "write sequences without padding"
+        return values
+
+    sequences.mapInArrow(run, PACKED).write.option("compression", "zstd").parquet(path)
+
+
+def read_packed(spark, path: str) -> DataFrame:
+    return spark.read.schema(PACKED).parquet(path)
+
+
+def matrices(rows: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The id matrix, the position matrix and the cumulative segment lengths of some rows of a packed table."""
+    ids, places = (np.stack([np.frombuffer(r[c], "<u4") for r in rows]) if rows else np.zeros((0, 0), "<u4") for c in ("ids", "position_ids"))
+    return ids, places, [np.frombuffer(r["cu_seqlens"], "<u4") for r in rows]

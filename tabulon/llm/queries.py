@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import quality, toxicity
 from tabulon.llm.bpe_tree import encode_decode
-from tabulon.llm.common import table
+from tabulon.llm.common import shared_dir, table
 from tabulon.llm.html_text import main_text
 from tabulon.llm.licenses import license_scan
 from tabulon.llm.media import media_columns
 from tabulon.llm.ngram_join import jaccard_components
-from tabulon.llm.packing import pack_matched, pack_sequences
+from tabulon.llm.packing import pack_matched, pack_sequences, read_packed, write_packed
 from tabulon.llm.repetition import repetition_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +37,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_sequences(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    """Written as binary matrices to the shared folder and read back from there."""
+    path = f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}"
+    write_packed(pack_sequences(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")), path)
+    return read_packed(spark, path)
 
 
 def op4_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ def op7_matched_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents")).drop("codec", "seconds", "key_frames")
+    return media_columns(table(spark, sf_dir, "documents"))
 
 
 def op9_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,14 @@ import numpy as np
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space in a row beyond which the quick encoder's pattern may run out of stack.
+LONG_RUN = " " * 4096
+
+
 def unusual(text: str) -> bool:
-    """Whether a text may hold special tokens, control characters or rare white space."""
-    return "<|" in text or not text.replace("\n", " ").isprintable()
+    """Whether a text may hold special tokens, control characters, rare or very long white space."""
+    lines = text.replace("\n", " ")
+    return "<|" in text or not lines.isprintable() or LONG_RUN in lines
 
 
 def byte_alphabet() -> dict[str, int]:
