@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.session import shared_dir, ship, stage  # noqa: F401
+from tabulon.session import discard, shared_dir, ship, stage  # noqa: F401
 
 #: UTF-8 bytes of text that a Python worker handles at a time (one longer text is a slice of its own).
 SLICE_BYTES = 2 << 20

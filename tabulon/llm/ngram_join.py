@@ -2,9 +2,9 @@
 
 The join is a sparse product of the document-by-shingle incidence with itself, in blocks of equal shingles, of which only
 the part is formed that can hold a pair: shingles are put in one global order, rare ones first (by a sketch of counts of
-fixed size), and two sets of Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles. Blocks accumulate
-overlap counts and discard pairs that sizes and places rule out; what is left is decided by the exact overlap of the two
-whole texts' sets.
+fixed size), and two sets of Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles. Pairs whose sizes
+or places rule them out are never formed. For the others the product is summed: the incidence of all shingles of both
+nodes is cut into blocks of shingles, each block adds its count of common ones to the pair, and the sum decides.
 
 Equal sets form one class first, so that copies cost nothing. A block of similar documents does not need all its pairs:
 only components are asked for. First every member is compared with one hub of the block; components follow; then, in
@@ -14,23 +14,24 @@ between different components is missed.
 
 A null, empty or blank text has no shingle and is linked with nothing, not even its like; a null doc_id is linked with
 nothing and has a null component; repeated rows are copies; an empty table gives an empty result; other columns are
-dropped. Two sets count as equal if 64-bit digests of their sorted shingles and their sizes are.
+dropped. Two sets count as equal if 128-bit digests of their sorted shingles are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import arrow_schema, stage, text_slices
+from tabulon.llm.common import arrow_schema, discard, stage, text_slices
 from tabulon.llm.repetition import flat
 
 #: Counters of the sketch: 8 MB, whatever the corpus; it only orders shingles, so its errors cost time, not pairs.
@@ -40,6 +41,10 @@ SKETCH_BLOCKS = 32
 BROADCAST_ROWS = 2_000_000
 #: Shingles in open blocks that a node's rows carry as a list at most.
 LISTED = 1024
+#: Blocks of shingles, by their first bits, in which the product is formed and summed.
+BLOCK_BITS = 2
+#: Members of a block that meet its others in one task.
+PART = 2000
 #: Members of a block whose pairs are formed without lists at most.
 SMALL_BLOCK = 8
 
@@ -48,8 +53,14 @@ PROFILE = T.StructType([
     T.StructField("text_hash", T.LongType()),
     T.StructField("n", T.IntegerType()),
     T.StructField("node", T.LongType()),
+    T.StructField("check", T.LongType()),
     T.StructField("prefix", T.ArrayType(T.LongType())),
 ])
+PIECE = T.StructType([
+    T.StructField("node", T.LongType()),
+    T.StructField("block", T.IntegerType()),
+    T.StructField("own", T.ArrayType(T.LongType())),
+])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -128,45 +139,48 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
             first = np.cumsum(size) - size
             rank = counts.value[(hashes & np.uint64(len(counts.value) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(32)
             ordered = hashes[np.lexsort((rank, doc))]  # a stable sort: equal ranks stay in the order of their hashes
-            nodes, prefixes = [], []
+            nodes, checks, prefixes = [], [], []
             for i, n in zip(first.tolist(), size.tolist()):
-                node = int.from_bytes(hashlib.blake2b(hashes[i : i + n].tobytes(), digest_size=8).digest(), "little", signed=True) if n else None
-                fresh = n and (node, n) not in seen
-                seen.add((node, n))
+                node, check = struct.unpack("<qq", hashlib.blake2b(hashes[i : i + n].tobytes(), digest_size=16).digest()) if n else (None, None)
+                fresh = n and (node, check) not in seen
+                seen.add((node, check))
                 nodes.append(node)
+                checks.append(check)
                 prefixes.append(ordered[i : i + n - -(-percent * n // 100) + 1].view(np.int64) if fresh else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int32()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], schema=out)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, PROFILE)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough."""
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    out = arrow_schema(schema)
+def pieces(texts: DataFrame, k: int) -> DataFrame:
+    """The rows of the incidence matrix that pairs need: (node, block, own), own the node's shingles in that block."""
+    out = arrow_schema(PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for wide in batches:
-            for batch in text_slices(iter([wide]), "text_b"):
-                a, at = batch.column("a").to_pylist(), {}
-                for i, key in enumerate(a):
-                    at.setdefault(key, i)
-                texts_a = batch.column("text_a").take(pa.array(list(at.values()), pa.int64()))
-                sets = []
-                for column in (texts_a, batch.column("text_b")):
-                    hashes, doc = shingles(column, k)
-                    ends = np.searchsorted(doc, np.arange(len(column) + 1))
-                    sets.append([np.unique(hashes[i:j]) for i, j in zip(ends[:-1], ends[1:])])
-                left = dict(zip(at, sets[0]))
-                linked = []
-                for key, y in zip(a, sets[1]):
-                    x = left[key]
-                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    linked.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=out).filter(pa.array(linked, pa.bool_()))
-
-    first = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return first.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+            for batch in text_slices(iter([wide])):
+                hashes, doc = shingles(batch.column("text"), k)
+                order = np.lexsort((hashes, doc))
+                hashes, doc = hashes[order], doc[order]
+                if not len(doc):
+                    continue
+                new = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]
+                hashes, doc = hashes[new], doc[new]
+                block = (hashes >> np.uint64(64 - BLOCK_BITS)).astype(np.int32)
+                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])])
+                own = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)], pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(doc[first])), pa.array(block[first]), own], schema=out)
+
+    return texts.select("node", "text").mapInArrow(run, PIECE)
+
+
+def linked(pairs: DataFrame, incidence: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes, of together ``total`` shingles, that overlap enough: each block of the product adds its
+    count of common shingles to a pair, and pairs whose sum is below the bound that their sizes set are discarded."""
+    left, right = (incidence.select(F.col("node").alias(side), "block", F.col("own").alias(f"own_{side}")) for side in "ab")
+    counts = pairs.join(left, "a").join(right, ["b", "block"]).select("a", "b", "total", F.size(F.array_intersect("own_a", "own_b")).alias("met"))
+    overlap = counts.groupBy("a", "b", "total").agg(F.sum("met").alias("overlap"))
+    return overlap.filter(100 * F.col("overlap") >= percent * (F.col("total") - F.col("overlap"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,55 +193,75 @@ def components(edges: DataFrame) -> DataFrame:
         least = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("component").alias("jump"))
         new = stage(least.join(jump, "least").select("node", F.least("least", "jump").alias("component"), (F.least("least", "jump") != F.col("was")).alias("changed")), "labels")
+        discard(labels)
         labels = new.select("node", "component")
         if new.filter("changed").isEmpty():
+            discard(both)
             return labels
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to, itself included) of every document."""
+def told_apart(rows: DataFrame) -> DataFrame:
+    """Classes are keyed by half of a 128-bit digest; where two sets share it, all but one get a key from both halves."""
+    shared = rows.filter("node is not null").groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).filter("least <> most")
+    if shared.isEmpty():
+        return rows.drop("check")
+    key = F.when(F.col("least").isNull() | (F.col("check") == F.col("least")), F.col("node")).otherwise(F.xxhash64("node", "check"))
+    return rows.join(shared, "node", "left").withColumn("node", key).drop("check", "least", "most")
+
+
+def labelled(docs: DataFrame, k: int, percent: int, rounds: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text_hash, n (size of the set), node (its class), first (the least doc_id and text hash of the component)."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stage(profile(own, k, percent), "profile")
+    rows = told_apart(stage(profile(own, k, percent), "profile"))
     named = rows.filter("node is not null and doc_id is not null")
     classes = named.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("n").alias("n"))
 
     postings = named.filter("prefix is not null").select("node", "n", F.posexplode("prefix").alias("place", "shingle")).repartition("shingle")
     blocks = postings.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min_by("n", "node").alias("hub_n")).filter("hub <> last").drop("last")
-    links = stage(postings.join(blocks, "shingle").select("shingle", "node", "n", "place", "hub", "hub_n").distinct(), "links")
+    links = stage(postings.join(blocks, "shingle").select("shingle", "node", "n", "hub", "hub_n").distinct(), "links")
 
     fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
     members = links.select("node").distinct()
-    if members.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)
-    wanted = classes.join(members, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
-    few = F.broadcast(wanted) if links.select("node").distinct().count() <= BROADCAST_ROWS else wanted
-    texts = stage(own.withColumn("text_hash", F.xxhash64("text")).join(few, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
-
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    hubs = links.filter((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(*pair("node", "hub")).distinct()
+    few = members.count() <= BROADCAST_ROWS
+    wanted = classes.join(F.broadcast(members) if few else members, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+    texts = own.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select("node", "text")
+    if not named.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # of repeated rows, one
+        texts = texts.dropDuplicates(["node"])
+    incidence = stage(pieces(texts, k), "pieces")
+
+    pair = lambda x, y, n, m: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (F.col(n) + F.col(m)).alias("total"))
+    hubs = links.filter((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(*pair("node", "hub", "n", "hub_n")).distinct()
     tried = stage(hubs, "pairs")
-    edges = stage(verified(tried, texts, k, percent), "links")
+    edges = stage(linked(tried, incidence, percent), "edges")
     label = components(edges)
+    passed = [links, incidence, tried]
     for turn in range(rounds):
         open_ = spanning(links, label)
         if turn < rounds - 1:
             hub = open_.groupBy("shingle").agg(F.max(F.struct(F.xxhash64("node", "shingle", F.lit(turn)).alias("h"), "node", "n", "component")).alias("hub"))
-            new = open_.join(hub, "shingle").filter((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n"))).select(*pair(F.col("node"), F.col("hub.node"))).distinct()
+            met = open_.join(hub, "shingle").filter((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n")))
+            new = met.select(*pair(F.col("node"), F.col("hub.node"), "n", "hub.n")).distinct()
         else:
             new = overlapping(open_, percent)
         new = stage(new.join(tried, ["a", "b"], "left_anti"), "pairs")
+        passed += [open_, new]
         tried = tried.union(new)
-        found = stage(verified(new, texts, k, percent), "links")
+        found = stage(linked(new, incidence, percent), "edges")
         if not found.isEmpty():
             edges = edges.union(found)
             label = components(edges)
 
-    first = classes.select("node", F.col("first.doc_id").alias("first")).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = first.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = first.join(least, "component").select("node", "component_id")
-    return rows.drop("prefix").join(of_node, "node", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    )
+    discard(*passed)
+    first = classes.select("node", "first").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = first.groupBy("component").agg(F.min("first").alias("first"))
+    of_node = first.select("node", "component").join(least, "component").select("node", "first")
+    return rows.drop("prefix").join(of_node, "node", "left")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to, itself included) of every document."""
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    return labelled(docs, k, percent, rounds, doc_id, text).select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def spanning(links: DataFrame, label: DataFrame) -> DataFrame:
@@ -249,8 +283,10 @@ def overlapping(open_: DataFrame, percent: int) -> DataFrame:
     large = F.col("members") > SMALL_BLOCK
     own = open_.groupBy("node").agg(F.collect_set(F.when(large, F.col("shingle"))).alias("own"), F.count_if(~large).alias("few"))
     listed = F.when(large & (F.size("own") <= LISTED), F.col("own"))
-    rows = stage(open_.join(own, "node").select("shingle", "node", "n", "component", "few", listed.alias("own")), "open")
-    x, y = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in ("shingle", "node", "n", "component", "few", "own"))) for side in "ab")
+    rows = stage(open_.join(own, "node").select("shingle", "node", "n", "component", "members", "few", listed.alias("own")), "open")
+    parts = F.ceil(F.col("members") / PART).cast("int")  # of a block: its members are dealt on one side, repeated on the other
+    dealt = {"a": F.pmod(F.xxhash64("node"), parts).cast("int"), "b": F.explode(F.sequence(F.lit(0), parts - 1))}
+    x, y = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in ("shingle", "node", "n", "component", "few", "own")), dealt[side].alias(f"part_{side}")) for side in "ab")
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     rest = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / 100) - 1
     common = F.array_intersect("own_a", "own_b")
@@ -258,17 +294,28 @@ def overlapping(open_: DataFrame, percent: int) -> DataFrame:
     enough = ~listed | (F.when(F.size(common) + F.least("few_a", "few_b") + rest >= need, F.array_min(common)) == F.col("shingle_a"))
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     possible = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & sizes & F.coalesce(enough, F.lit(False))
-    return x.join(y, (F.col("shingle_a") == F.col("shingle_b")) & possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    met = x.join(y, (F.col("shingle_a") == F.col("shingle_b")) & (F.col("part_a") == F.col("part_b")) & possible)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("total")).distinct()
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest doc_id of their component, with all columns; rows without doc_id or shingles stay."""
-    found = stage(jaccard_components(docs, k, percent), "components")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    again = found.filter("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """One document of each component, with all columns: the one of the least doc_id, and of its texts the one of the least
+    hash. A doc_id with several texts counts as that many documents, equal rows as one; of rows that differ only in other
+    columns the first in the order of their JSON stays. Rows without doc_id or shingles stay."""
+    found = stage(labelled(docs, k, percent, 2, "doc_id", "text").filter("doc_id is not null and n > 0").select("doc_id", "text_hash", "first"), "components")
+    chosen = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    key, mark = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("key", "mark"))  # names that no column has
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
+
+    def of(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.struct("doc_id", "text_hash").alias(key))
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    kept = keyed.join(of(found.filter(~chosen).distinct()), key, "left_anti")
+    again = found.filter(chosen).groupBy("doc_id", "text_hash").count().filter("count > 1")
     if again.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text")
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").drop("_turn")
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated)
+        return kept.select(*docs.columns)
+    again = of(again)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = kept.join(again, key, "left_semi").groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(mark)).select(f"{mark}.*")
+    return kept.join(again, key, "left_anti").select(*docs.columns).unionByName(first)
