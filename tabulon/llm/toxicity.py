@@ -144,21 +144,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = marks.filter(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     first = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "label")).alias("r"))
-    return first.select("r.text", "r.label")
+    return first.select("doc_id", "r.text", "r.label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_documents: int = 8000, max_chars: int = 40_000_000) -> NoisyOr:
-    """``max_chars`` bounds the text brought to the driver: documents in the order of their length share it, whole ones only."""
+    """``max_chars`` bounds the text brought to the driver: documents share it in the order of their ids' hashes, whole ones
+    only, so that short and long ones are as frequent as among all."""
     rows = training_rows(docs, labels, label, max_documents)
-    sized = rows.select("text", "label", F.length("text").alias("n"))
-    edge = sized.groupBy("n").count().orderBy("n").collect()  # bounded by max_documents
-    room, longest = max_chars, 0
-    for n, count in edge:
-        room -= n * count
-        if room < 0:
-            break
-        longest = n
-    return fit(sorted((r["text"], r["label"]) for r in sized.filter(F.col("n") <= longest).collect()))
+    sizes = rows.select("doc_id", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # bounded by max_documents
+    room, fits = max_chars, []
+    for r in sizes:
+        if r["n"] <= room:
+            room -= r["n"]
+            fits.append((r["doc_id"],))
+    if len(fits) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long")), "doc_id")
+    return fit(sorted((r["text"], r["label"]) for r in rows.select("text", "label").collect()))
 
 
 def score_documents(docs: DataFrame, model: NoisyOr, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
