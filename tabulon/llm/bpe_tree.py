@@ -1,11 +1,15 @@
 """BPE encoding and decoding of whole texts, with tree concatenation for long text that has no place to split.
 
-ASCII white space always separates pre-tokens of the vocabularies meant here (word ends, white space dropped), so the
-library encodes each distinct stretch between white space once and a bounded cache serves the rest. A pre-token of more
-than ``long_symbols`` symbols is halved until its parts are short; Spark encodes these leaves as rows of their own, then
-neighbouring parts are joined: a window of tokens around the join is encoded again, and grows until its outermost tokens
-are those that both sides had. A sequence of tokens is an encoding if and only if every two neighbours are the encoding
-of their concatenation, so agreement at both ends of the window makes the joined sequence exact.
+Every text is halved, wherever its middle falls, until no part is longer than ``leaf`` characters. The leaves are encoded
+each by itself, then neighbours are joined: a window around the join is encoded again, and grows until what stands at
+both its ends is what both sides had.
+
+ASCII white space always separates pre-tokens of the vocabularies meant here (word ends, white space dropped; a file of
+another kind is refused), so that a window grows by the stretches between white space, and agreement of the outermost
+ones makes the join exact. Each distinct stretch is encoded once and a bounded cache serves the rest. A pre-token of more
+than ``long_symbols`` symbols has no white space to lean on: Spark encodes the leaves of its halves as rows of their own,
+and windows grow by tokens. A sequence of tokens is an encoding if and only if every two neighbours are the encoding of
+their concatenation, so that agreement at both ends makes that join exact too.
 
 Null texts count as empty (no tokens); repeated rows give repeated results; an empty table gives an empty one; other
 columns are dropped.
@@ -19,6 +23,7 @@ import json
 import os
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -50,6 +55,16 @@ PARTS = T.StructType([
 ])
 
 
+@dataclass
+class Leaf:
+    """A part of a text: its stretches between white space, what encodes them, and whether either end may cut one."""
+
+    stretches: list[bytes]
+    found: list[tuple[int, str, str]]
+    starts_inside: bool
+    ends_inside: bool
+
+
 class WordBpe:
     """A tokenizer file with its library, and the same merges for parts of words."""
 
@@ -75,6 +90,9 @@ class WordBpe:
         self.shown_byte = {b: c for c, b in byte_alphabet().items()}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+        for space in " \n\t\r\x0b\x0c":
+            if self.stretch(f"ab{space}1{space}") != self.stretch("ab") + self.stretch("1"):
+                raise ValueError(f"white space does not separate the tokens of {path}")
         self.cache: dict[bytes, tuple[int, str, str]] = {}
         self.word_cache: dict[str, tuple[int, str, str]] = {}
 
@@ -150,6 +168,39 @@ class WordBpe:
             found.append(hit)
         return found
 
+    def leaf(self, text: str) -> Leaf:
+        raw = text.encode()
+        stretches = raw.split()
+        return Leaf(stretches, self.look_up(stretches), not raw[:1].isspace(), not raw[-1:].isspace())
+
+    def join_leaves(self, left: Leaf, right: Leaf) -> Leaf:
+        """The leaf of both texts, from a window of stretches around the join."""
+        if left.ends_inside and right.starts_inside:
+            size = 1
+            while True:
+                a, b = left.stretches[-size:], right.stretches[:size]
+                middle = [*a[:-1], a[-1] + b[0], *b[1:]]
+                found = self.look_up(middle)
+                if (len(a) == len(left.stretches) or found[0] == left.found[-size]) and (len(b) == len(right.stretches) or found[-1] == right.found[size - 1]):
+                    break
+                size *= 2
+            left.stretches[-len(a) :], left.found[-len(a) :] = middle, found
+            left.stretches += right.stretches[len(b) :]
+            left.found += right.found[len(b) :]
+        else:
+            left.stretches += right.stretches
+            left.found += right.found
+        return Leaf(left.stretches, left.found, left.starts_inside, right.ends_inside)
+
+    def tree_text(self, text: str, most: int) -> list[tuple[int, str, str]]:
+        """Number, ids and decoded text of each stretch of a whole text."""
+        if not text:
+            return []
+        leaves = [self.leaf(x) for x in halves(text, most)]
+        while len(leaves) > 1:
+            leaves = [self.join_leaves(*leaves[i : i + 2]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
+        return leaves[0].found
+
     def words(self, stretch: str) -> list[str | int]:
         """Pre-tokens of one stretch, special tokens as their ids."""
         if self.pattern is not None and stretch.isprintable() and max(stretch) < "\u0250" and "<|" not in stretch:  # normal forms already
@@ -179,16 +230,17 @@ def word_bpe(path: str) -> WordBpe:
 
 def halves(word: str, most: int) -> list[str]:
     """The leaves of halving a word until no part is longer."""
-    if len(word) <= most:
-        return [word]
-    return halves(word[: len(word) // 2], most) + halves(word[len(word) // 2 :], most)
+    parts = [word]
+    while len(parts[-1]) > most:  # the last part is the longest
+        parts = [x for p in parts for x in (p[: len(p) // 2], p[len(p) // 2 :])]
+    return parts
 
 
 def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, long_symbols: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, long_symbols: int = 2048, leaf: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Token counts and digests of ids and of the decoded text, for every document."""
     out = arrow_schema(PARTS)
 
@@ -204,8 +256,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, long_symbols: int = 2048, doc
                 if any(len(s) > long_symbols for s in stretches):
                     rows += [(key, None, None, None, row, k, *p) for k, p in enumerate(parts(bpe, stretches))]
                 else:
-                    found = bpe.look_up(stretches)
-                    found = [x for x in found if x[0]]
+                    found = [x for x in bpe.tree_text(value or "", leaf) if x[0]]
                     rows.append((key, sum(x[0] for x in found), digest(" ".join([x[1] for x in found])), digest(" ".join([x[2] for x in found])), *[None] * 6))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
