@@ -134,34 +134,39 @@ def read_iso(data: bytes) -> list[Track]:
         step = struct.calcsize(form)
         return list(struct.iter_unpack(form, view[at : at + min(most, (end - at) // step) * step]))
 
-    def walk(start: int, end: int) -> None:
-        for kind, at, stop in boxes(view, start, end):
-            if kind == b"trak":
-                tracks.append(Track())
-            if kind in CONTAINERS:
-                walk(at, stop)
-                continue
-            if not tracks or stop - at < 8:
-                continue
-            track, version = tracks[-1], view[at]
-            count = struct.unpack_from(">I", view, at + 4)[0]
-            if kind == b"mdhd" and stop - at >= (32 if version else 20):
-                track.timescale, track.duration = struct.unpack_from(">IQ" if version else ">II", view, at + (20 if version else 12))
-            elif kind == b"hdlr" and stop - at >= 12:
-                track.kind = bytes(view[at + 8 : at + 12]).decode("latin-1")
-            elif kind == b"stsd" and stop - at >= 16:
-                track.codec = bytes(view[at + 12 : at + 16]).decode("latin-1").strip()
-            elif kind == b"stsz" and stop - at >= 12:
-                number = struct.unpack_from(">I", view, at + 8)[0]
-                track.tables[kind] = [count] * number if count else [x for (x,) in numbers(">I", at + 12, stop, number)]
-            elif kind in (b"stco", b"co64"):
-                track.tables[b"stco"] = [x for (x,) in numbers(">Q" if kind == b"co64" else ">I", at + 8, stop, count)]
-            elif kind == b"stss":
-                track.tables[kind] = [x for (x,) in numbers(">I", at + 8, stop, count)]
-            elif kind in (b"stts", b"stsc"):
-                track.tables[kind] = numbers(">II" if kind == b"stts" else ">III", at + 8, stop, count)
-
-    walk(0, len(data))
+    def leaf(track: Track, kind: bytes, at: int, stop: int) -> None:
+        version, count = view[at], struct.unpack_from(">I", view, at + 4)[0]
+        if kind == b"mdhd" and stop - at >= (32 if version else 20):
+            track.timescale, track.duration = struct.unpack_from(">IQ" if version else ">II", view, at + (20 if version else 12))
+        elif kind == b"hdlr" and stop - at >= 12:
+            track.kind = bytes(view[at + 8 : at + 12]).decode("latin-1")
+        elif kind == b"stsd" and stop - at >= 16:
+            track.codec = bytes(view[at + 12 : at + 16]).decode("latin-1").strip()
+        elif kind == b"stsz" and stop - at >= 12:
+            number = struct.unpack_from(">I", view, at + 8)[0]
+            if not count:
+                track.tables[kind] = [x for (x,) in numbers(">I", at + 12, stop, number)]
+            elif count * number <= len(data):  # more samples than the file can hold: not sound
+                track.tables[kind] = [count] * number
+        elif kind in (b"stco", b"co64"):
+            track.tables[b"stco"] = [x for (x,) in numbers(">Q" if kind == b"co64" else ">I", at + 8, stop, count)]
+        elif kind == b"stss":
+            track.tables[kind] = [x for (x,) in numbers(">I", at + 8, stop, count)]
+        elif kind in (b"stts", b"stsc"):
+            track.tables[kind] = numbers(">II" if kind == b"stts" else ">III", at + 8, stop, count)
+
+    open_ = [boxes(view, 0, len(data))]  # from the file inwards
+    while open_:
+        kind, at, stop = next(open_[-1], (None, 0, 0))
+        if kind is None:
+            open_.pop()
+            continue
+        if kind == b"trak":
+            tracks.append(Track())
+        if kind in CONTAINERS:
+            open_.append(boxes(view, at, stop))
+        elif tracks and stop - at >= 8:
+            leaf(tracks[-1], kind, at, stop)
     return tracks
 
 
