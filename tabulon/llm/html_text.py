@@ -48,8 +48,10 @@ NOT_TEXT_WORDS = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs footer contentinfo complementary popup modal overlay newsletter subscribe signup social share sharing related recommended widget search pagination pager toolbar "
     "cookie-notice cookie-banner cookie-consent nav-bar nav-menu site-nav site-footer share-buttons social-share related-posts comment-list".split()
 )
-#: An element of this kind ends an open one of the same kind.
-REPEATING = frozenset("p li dt dd tr td th option".split())
+#: What a starting element ends, and the elements that such an end does not pass ("" stands for all blocks
+#: but address, div, p and the parts of lists).
+ENDS = {"li": (("li",), ""), "dt": (("dt", "dd"), ""), "dd": (("dt", "dd"), ""), "tr": (("tr",), "table"), "td": (("td", "th"), "table"), "th": (("td", "th"), "table"), "option": (("option",), "select")}
+PASSED = frozenset("address div p li dt dd".split())
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<[/a-zA-Z][^>]*(?:>|\Z)",  # quotes that do not end
@@ -64,7 +66,7 @@ def is_dropped(tag: str, attributes: str, in_article: bool) -> int:
     names tell of its text."""
     if tag in NOT_TEXT or tag == "header" and not in_article:
         return DROP
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
+    if not attributes or tag in ("html", "body") or tag in ("article", "main") and "comment" not in attributes.lower():
         return 0
     if HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)) or re.search(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attributes, re.I):
         return DROP
@@ -82,12 +84,60 @@ def role_inside(role: int, tag: str, attributes: str) -> int:
     return is_dropped(tag, attributes, role == MAIN) or (MAIN if role == MAIN or article else role)
 
 
+class Open:
+    """The open elements of a page, each with the role inside it."""
+
+    def __init__(self):
+        self.elements: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}  # of each tag
+        self.walls: list[int] = []  # places of blocks
+        self.stops: list[int] = []  # places of blocks that no list item's end passes
+
+    @property
+    def role(self) -> int:
+        return self.elements[-1][1] if self.elements else OTHER
+
+    def push(self, tag: str, role: int) -> None:
+        at = len(self.elements)
+        self.elements.append((tag, role))
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCKS or tag in NOT_TEXT:
+            self.walls.append(at)
+            if tag not in PASSED:
+                self.stops.append(at)
+
+    def cut(self, size: int) -> None:
+        while len(self.elements) > size:
+            self.places[self.elements.pop()[0]].pop()
+        for places in (self.walls, self.stops):
+            while places and places[-1] >= size:
+                places.pop()
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def end(self, tag: str) -> None:
+        """An end tag; that of an inline element does not leave a block."""
+        at = self.last(tag)
+        if at >= 0 and (tag in BLOCKS or tag in NOT_TEXT or not self.walls or at > self.walls[-1]):
+            self.cut(at)
+
+    def before(self, tag: str) -> None:
+        """What a start tag ends: a block ends a paragraph that is the innermost block, an item the item before it."""
+        if tag in BLOCKS and self.walls and self.last("p") == self.walls[-1]:
+            self.cut(self.walls[-1])
+        if tag in ENDS:
+            tags, stop = ENDS[tag]
+            at = self.last(*tags)
+            if at > (self.last(stop) if stop else self.stops[-1] if self.stops else -1):
+                self.cut(at)
+
+
 def blocks_of(page: str) -> list[tuple[str, int]]:
     """(text, role) of a page's blocks in page order."""
     found: list[tuple[str, int]] = []
-    open_: list[tuple[str, int]] = []  # (element, role inside it)
+    open_, role = Open(), OTHER
     text: list[str] = []
-    role = OTHER
 
     def flush() -> None:
         if text:
@@ -110,24 +160,18 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
             continue
         if tag in BLOCKS or tag in NOT_TEXT:
             flush()
-        if m[2]:  # an end
-            if any(t == tag for t, _ in open_):
-                while open_.pop()[0] != tag:
-                    pass
-                new = open_[-1][1] if open_ else OTHER
-                if new != role:
-                    flush()
-                role = new
-        elif tag not in VOID and not m[4].endswith("/"):
-            if tag in REPEATING and open_ and tag in (t for t, _ in open_[-3:]):
-                while open_.pop()[0] != tag:
-                    pass
-                role = open_[-1][1] if open_ else OTHER
-            inner = role_inside(role, tag, m[4])
-            if inner != role:
-                flush()
-            role = inner
-            open_.append((tag, role))
+        if m[2]:
+            open_.end(tag)
+            inner = open_.role
+        else:
+            open_.before(tag)
+            inner = open_.role
+            if tag not in VOID and not m[4].endswith("/"):
+                inner = role_inside(inner, tag, m[4])
+                open_.push(tag, inner)
+        if inner != role:
+            flush()
+        role = inner
     piece = page[at:]
     text.append(entities.unescape(piece) if "&" in piece else piece)
     flush()
