@@ -1,11 +1,11 @@
 """Quality classification by co-training of two views.
 
-The content view sees the words: how many end in symbols or shout, repeat the word before them, are bars or digits, how
-varied they are. The metadata view sees what describes the record: declared length, language, source, lines and their
-lengths, shares of letters, capitals and signs. Each view is a logistic classifier fitted on labelled rows. Over some
-rounds each labels the unlabelled rows that it is most sure of, for the other view to learn from. Then both are
-calibrated on labelled rows that neither was fitted on, and a logistic combination of the calibrated log-odds scores all
-documents.
+The content view sees the text: how many words end in symbols or shout, repeat the word before them, are bars or digits,
+how varied they are, the shares of letters, capitals and signs, and how it is laid out in lines. The metadata view never
+sees the text: it has the record's declared length, language and source. Each view is a logistic classifier fitted on
+labelled rows. Over some rounds each labels the unlabelled rows that it is most sure of, for the other view to learn from.
+Labelled rows that neither was fitted on are dealt in two: one part calibrates both views, the other fits the logistic
+combination of the calibrated log-odds that scores all documents.
 
 Fitting uses at most ``max_labelled`` labelled rows, those with the smallest hash of doc_id (a documented bound). All
 unlabelled rows take part: their features are written once, each pass over them adds up a view's gradient and Hessian or
@@ -32,8 +32,10 @@ from tabulon.llm.common import arrow_schema, stage, text_slices
 from tabulon.llm.repetition import flat
 from tabulon.llm.toxicity import held_out
 
-CONTENT = ["ends_in_signs", "shouts", "repeats", "bars", "digits", "variety", "word_length", "plain", "capitalized", "signs_inside", "log_words"]
-BASE_METADATA = ["log_chars", "lines", "line_length", "longest_line", "blank_lines", "letters", "capitals", "signs", "spaces", "log_bytes_a_char"]
+CONTENT = ["ends_in_signs", "shouts", "repeats", "bars", "digits", "variety", "word_length", "plain", "capitalized", "signs_inside", "log_words", "lines", "line_length", "longest_line", "blank_lines", "letters", "capitals", "signs", "spaces", "log_bytes_a_char"]
+BASE_METADATA = ["has_chars", "log_chars", "log_chars_squared"]
+#: Powers of two by which declared lengths are told apart.
+LENGTHS = 24
 #: Hash buckets of the metadata's two names.
 SOURCES, LANGS = 32, 16
 #: Buckets of log-odds, and of hashes among equal log-odds, by which a round's surest rows are cut off.
@@ -66,12 +68,11 @@ def content_view(text: pa.Array) -> np.ndarray:
     same = np.r_[False, (at[1:] == at[:-1]) & (doc[1:] == doc[:-1])] if len(at) else np.zeros(0, bool)
     distinct = np.bincount(np.unique(doc * (len(kinds) + 1) + at) // (len(kinds) + 1), minlength=n)
     variety = np.log1p(distinct) / np.log1p(least)
-    return np.stack([rate[0], rate[1], np.bincount(doc, same, n) / least, rate[2], rate[3], variety, rate[4] / 10, rate[5], rate[6], rate[7], np.log1p(count) / 10], 1).astype(np.float32)
+    words_say = np.stack([rate[0], rate[1], np.bincount(doc, same, n) / least, rate[2], rate[3], variety, rate[4] / 10, rate[5], rate[6], rate[7], np.log1p(count) / 10], 1)
+    return np.concatenate([words_say, layout(text)], 1).astype(np.float32)
 
 
-def metadata_view(text: pa.Array, chars: np.ndarray, lang: list, source: list) -> np.ndarray:
-    import zlib
-
+def layout(text: pa.Array) -> np.ndarray:
     n = len(text)
     lines, owner = flat(pc.split_pattern(text, "\n"))
     length = pc.utf8_length(lines).to_numpy()
@@ -80,12 +81,20 @@ def metadata_view(text: pa.Array, chars: np.ndarray, lang: list, source: list) -
     np.maximum.at(longest, owner, length)
     size = np.maximum(pc.utf8_length(text).to_numpy(), 1)
     share = lambda pattern: pc.count_substring_regex(text, pattern).to_numpy() / size
-    base = np.stack([
-        np.log1p(np.maximum(chars, 0)) / 10, np.log1p(count) / 5, np.log1p(size / count) / 10, longest / size, np.bincount(owner, length == 0, n) / count,
+    return np.stack([
+        np.log1p(count) / 5, np.log1p(size / count) / 10, longest / size, np.bincount(owner, length == 0, n) / count,
         share(r"[a-zA-Z]"), share(r"[A-Z]"), share(r"[#*$%&|<>!@=+]"), share(r"[ \n\t]"), pc.binary_length(text).to_numpy() / size - 1,
     ], 1)
-    names = np.zeros((n, SOURCES + LANGS))
-    rows = np.arange(n)
+
+
+def metadata_view(chars: pa.Array, lang: list, source: list) -> np.ndarray:
+    import zlib
+
+    n, rows = len(chars), np.arange(len(chars))
+    length = np.log1p(np.maximum(pc.fill_null(chars, 0).to_numpy(), 0))
+    base = np.stack([pc.is_valid(chars).to_numpy(zero_copy_only=False), length / 10, length**2 / 100], 1)
+    names = np.zeros((n, SOURCES + LANGS + LENGTHS))
+    names[rows, SOURCES + LANGS + np.minimum(length / np.log(2), LENGTHS - 1).astype(int)] = 1
     names[rows, [zlib.crc32((x or "").encode()) % SOURCES for x in source]] = 1
     names[rows, [SOURCES + zlib.crc32((x or "").encode()) % LANGS for x in lang]] = 1
     return np.concatenate([base, names], 1).astype(np.float32)
@@ -93,8 +102,7 @@ def metadata_view(text: pa.Array, chars: np.ndarray, lang: list, source: list) -
 
 def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     text = pc.fill_null(batch.column("text"), "")
-    chars = pc.fill_null(batch.column("n_chars"), 0).to_numpy()
-    return content_view(text), metadata_view(text, chars, batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+    return content_view(text), metadata_view(batch.column("n_chars"), batch.column("lang").to_pylist(), batch.column("source").to_pylist())
 
 
 def inputs(docs: DataFrame) -> DataFrame:
@@ -161,7 +169,7 @@ Total = Callable[[Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]]], l
 
 
 def both_views(rows: list[bytes]) -> list[np.ndarray]:
-    x = np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1) if rows else np.zeros((0, len(CONTENT) + len(BASE_METADATA) + SOURCES + LANGS), "<f4")
+    x = np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1) if rows else np.zeros((0, len(CONTENT) + len(BASE_METADATA) + SOURCES + LANGS + LENGTHS), "<f4")
     return [x[:, : len(CONTENT)], x[:, len(CONTENT) :]]
 
 
@@ -292,9 +300,13 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, total: Total, rounds: in
     for _ in range(rounds if model.n_unlabelled else 0):
         history.append((model.views, surest(model.views, history, total, int(share * model.n_unlabelled), sure)))
         model.views = fit_views(known, y[fitting], history, total, sure)
-    odds = [v.odds(x[for_calibration])[:, None] for v, x in zip(model.views, labelled)]
-    model.calibrations = [Logistic(z, y[for_calibration]) for z in odds]
-    model.mix = Logistic(np.concatenate([c.odds(z)[:, None] for c, z in zip(model.calibrations, odds)], 1), y[for_calibration])
+    kept = np.flatnonzero(for_calibration)
+    parts = [kept[::2], kept[1::2]]
+    if any(len(np.unique(y[p])) < 2 for p in parts):  # too few rows of a class to deal in two
+        parts = [kept, kept]
+    first, second = ([v.odds(x[p])[:, None] for v, x in zip(model.views, labelled)] for p in parts)
+    model.calibrations = [Logistic(z, y[parts[0]]) for z in first]
+    model.mix = Logistic(np.concatenate([c.odds(z)[:, None] for c, z in zip(model.calibrations, second)], 1), y[parts[1]])
     return model
 
 
