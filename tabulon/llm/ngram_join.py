@@ -174,11 +174,17 @@ def pieces(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, PIECE)
 
 
-def linked(pairs: DataFrame, incidence: DataFrame, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes, of together ``total`` shingles, that overlap enough: each block of the product adds its
-    count of common shingles to a pair, and pairs whose sum is below the bound that their sizes set are discarded."""
-    left, right = (incidence.select(F.col("node").alias(side), "block", F.col("own").alias(f"own_{side}")) for side in "ab")
-    counts = pairs.join(left, "a").join(right, ["b", "block"]).select("a", "b", "total", F.size(F.array_intersect("own_a", "own_b")).alias("met"))
+    count of common shingles to a pair, and pairs whose sum is below the bound that their sizes set are discarded. Only
+    nodes of these pairs get rows of the incidence; where the pairs are few they go to the rows of a, which stay in place."""
+    small = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
+
+    def side(name: str) -> DataFrame:
+        nodes = pairs.select(F.col(name).alias("node")).distinct()
+        return pieces(texts.join(small(nodes), "node", "left_semi"), k).select(F.col("node").alias(name), "block", F.col("own").alias(f"own_{name}"))
+
+    counts = side("a").join(small(pairs), "a").join(side("b"), ["b", "block"]).select("a", "b", "total", F.size(F.array_intersect("own_a", "own_b")).alias("met"))
     overlap = counts.groupBy("a", "b", "total").agg(F.sum("met").alias("overlap"))
     return overlap.filter(100 * F.col("overlap") >= percent * (F.col("total") - F.col("overlap"))).select("a", "b")
 
@@ -227,14 +233,14 @@ def labelled(docs: DataFrame, k: int, percent: int, rounds: int, doc_id: str, te
     texts = own.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select("node", "text")
     if not named.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # of repeated rows, one
         texts = texts.dropDuplicates(["node"])
-    incidence = stage(pieces(texts, k), "pieces")
+    texts = stage(texts, "texts")
 
     pair = lambda x, y, n, m: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (F.col(n) + F.col(m)).alias("total"))
     hubs = links.filter((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(*pair("node", "hub", "n", "hub_n")).distinct()
     tried = stage(hubs, "pairs")
-    edges = stage(linked(tried, incidence, percent), "edges")
+    edges = stage(linked(tried, texts, k, percent), "edges")
     label = components(edges)
-    passed = [links, incidence, tried]
+    passed = [links, texts, tried]
     for turn in range(rounds):
         open_ = spanning(links, label)
         if turn < rounds - 1:
@@ -246,7 +252,7 @@ def labelled(docs: DataFrame, k: int, percent: int, rounds: int, doc_id: str, te
         new = stage(new.join(tried, ["a", "b"], "left_anti"), "pairs")
         passed += [open_, new]
         tried = tried.union(new)
-        found = stage(linked(new, incidence, percent), "edges")
+        found = stage(linked(new, texts, k, percent), "edges")
         if not found.isEmpty():
             edges = edges.union(found)
             label = components(edges)
