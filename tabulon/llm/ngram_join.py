@@ -58,6 +58,7 @@ PROFILE = T.StructType([
 ])
 PIECE = T.StructType([
     T.StructField("node", T.LongType()),
+    T.StructField("n", T.IntegerType()),
     T.StructField("block", T.IntegerType()),
     T.StructField("own", T.ArrayType(T.LongType())),
 ])
@@ -152,8 +153,9 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, PROFILE)
 
 
-def pieces(texts: DataFrame, k: int) -> DataFrame:
-    """The rows of the incidence matrix that pairs need: (node, block, own), own the node's shingles in that block."""
+def pieces(texts: DataFrame, k: int, first: bool) -> DataFrame:
+    """Rows of the incidence matrix: (node, n, block, own), own the node's shingles in that block, n all of them. The first
+    block alone has a row for every node, the others (not ``first``) where it has shingles."""
     out = arrow_schema(PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,31 +164,43 @@ def pieces(texts: DataFrame, k: int) -> DataFrame:
                 hashes, doc = shingles(batch.column("text"), k)
                 order = np.lexsort((hashes, doc))
                 hashes, doc = hashes[order], doc[order]
-                if not len(doc):
-                    continue
-                new = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]
+                new = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
                 hashes, doc = hashes[new], doc[new]
-                block = (hashes >> np.uint64(64 - BLOCK_BITS)).astype(np.int32)
-                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])])
-                own = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)], pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(doc[first])), pa.array(block[first]), own], schema=out)
+                n = np.bincount(doc, minlength=batch.num_rows)
+                key = doc << BLOCK_BITS | (hashes >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
+                mine = (key & (1 << BLOCK_BITS) - 1 == 0) == first
+                keys = np.arange(batch.num_rows) << BLOCK_BITS if first else np.unique(key[mine])
+                ends = np.searchsorted(key[mine], keys, "right")
+                own = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(hashes[mine].view(np.int64)))
+                at = keys >> BLOCK_BITS
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), pa.array(n[at], pa.int32()), pa.array(keys & (1 << BLOCK_BITS) - 1, pa.int32()), own], schema=out)
 
     return texts.select("node", "text").mapInArrow(run, PIECE)
 
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes, of together ``total`` shingles, that overlap enough: each block of the product adds its
-    count of common shingles to a pair, and pairs whose sum is below the bound that their sizes set are discarded. Only
-    nodes of these pairs get rows of the incidence; where the pairs are few they go to the rows of a, which stay in place."""
-    small = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
+    """The pairs (a, b) of nodes that overlap enough. Each block of the product adds its count of common shingles to a pair.
+    The first block goes alone: where its count and all that the smaller rest could add stay below the bound that the
+    sizes set, the pair is discarded before the other blocks are formed; at the end the sum decides. Only nodes of these
+    pairs get rows of the incidence; where the pairs are few they go to the rows of a, which stay in place."""
+    met = F.size(F.array_intersect("own_a", "own_b"))
+    reaches = lambda overlap: (100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b"))
+
+    def product(pairs: DataFrame, first: bool) -> DataFrame:
+        small = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
+
+        def side(name: str) -> DataFrame:
+            nodes = pairs.select(F.col(name).alias("node")).distinct()
+            found = pieces(texts.join(small(nodes), "node", "left_semi"), k, first)
+            return found.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), "block", F.col("own").alias(f"own_{name}"))
 
-    def side(name: str) -> DataFrame:
-        nodes = pairs.select(F.col(name).alias("node")).distinct()
-        return pieces(texts.join(small(nodes), "node", "left_semi"), k).select(F.col("node").alias(name), "block", F.col("own").alias(f"own_{name}"))
+        return side("a").join(small(pairs), "a").join(side("b"), ["b", "block"])
 
-    counts = side("a").join(small(pairs), "a").join(side("b"), ["b", "block"]).select("a", "b", "total", F.size(F.array_intersect("own_a", "own_b")).alias("met"))
-    overlap = counts.groupBy("a", "b", "total").agg(F.sum("met").alias("overlap"))
-    return overlap.filter(100 * F.col("overlap") >= percent * (F.col("total") - F.col("overlap"))).select("a", "b")
+    rest = F.least(F.col("n_a") - F.size("own_a"), F.col("n_b") - F.size("own_b"))
+    open_ = stage(product(pairs.select("a", "b"), True).filter(reaches(met + rest)).select("a", "b", "n_a", "n_b", met.alias("met")), "met")
+    more = product(open_.select("a", "b"), False).select("a", "b", "n_a", "n_b", met.alias("met"))
+    overlap = open_.union(more).groupBy("a", "b", "n_a", "n_b").agg(F.sum("met").alias("overlap"))
+    return overlap.filter(reaches(F.col("overlap"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,8 +249,8 @@ def labelled(docs: DataFrame, k: int, percent: int, rounds: int, doc_id: str, te
         texts = texts.dropDuplicates(["node"])
     texts = stage(texts, "texts")
 
-    pair = lambda x, y, n, m: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (F.col(n) + F.col(m)).alias("total"))
-    hubs = links.filter((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(*pair("node", "hub", "n", "hub_n")).distinct()
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    hubs = links.filter((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(*pair("node", "hub")).distinct()
     tried = stage(hubs, "pairs")
     edges = stage(linked(tried, texts, k, percent), "edges")
     label = components(edges)
@@ -246,7 +260,7 @@ def labelled(docs: DataFrame, k: int, percent: int, rounds: int, doc_id: str, te
         if turn < rounds - 1:
             hub = open_.groupBy("shingle").agg(F.max(F.struct(F.xxhash64("node", "shingle", F.lit(turn)).alias("h"), "node", "n", "component")).alias("hub"))
             met = open_.join(hub, "shingle").filter((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n")))
-            new = met.select(*pair(F.col("node"), F.col("hub.node"), "n", "hub.n")).distinct()
+            new = met.select(*pair(F.col("node"), F.col("hub.node"))).distinct()
         else:
             new = overlapping(open_, percent)
         new = stage(new.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -301,7 +315,7 @@ def overlapping(open_: DataFrame, percent: int) -> DataFrame:
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     possible = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & sizes & F.coalesce(enough, F.lit(False))
     met = x.join(y, (F.col("shingle_a") == F.col("shingle_b")) & (F.col("part_a") == F.col("part_b")) & possible)
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("total")).distinct()
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
