@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabulon.functions.value import NA, NUM, VALUE, Val, as_number, as_text, bind, errors, failed, finite, function, lift
+from tabulon.functions.value import FUNCTIONS, NA, NUM, VALUE, Val, as_number, as_text, bind, errors, failed, finite, function, lift
 
 LAST = 2958466.0  # the first serial after year 9999
 EPOCH = "1899-12-30"
@@ -268,3 +268,12 @@ def _timevalue(x):
     total = hour * 3600 + m * 60 + F.coalesce(s, F.lit(0))
     good = (hour < 24) & (m < 60) & (F.coalesce(s, F.lit(0)) < 60)
     return Val(F.when(good, total / 86400.0), "number", errors(v, own=F.when(~F.coalesce(good, F.lit(False)), VALUE)))
+
+
+# With holidays last and the weekend before them where a name has it.
+FUNCTIONS["NETWORKDAYS"] = networkdays
+FUNCTIONS["WORKDAY"] = workday
+FUNCTIONS["NETWORKDAYS.INTL"] = lambda start, end, weekend=1, holidays=(): networkdays(start, end, holidays, weekend)
+FUNCTIONS["WORKDAY.INTL"] = lambda start, days, weekend=1, holidays=(): workday(start, days, holidays, weekend)
+FUNCTIONS["TODAY"] = today
+FUNCTIONS["NOW"] = now

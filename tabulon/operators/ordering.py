@@ -52,12 +52,14 @@ def page(df: DataFrame, number: int, size: int = 10) -> DataFrame:
 
 
 def fetch_rows(df: DataFrame, number: int, size: int, sort: tuple[str, str] | None = None, filters: dict[str, list[tuple]] | None = None, tie: str | None = None) -> tuple[DataFrame, int]:
-    """The server-side query of a grid: filters (all of them), then one sort key, then a page; with the number of rows."""
+    """The server-side query of a grid: filters (all of them), then one sort key, then a page; with the number of rows.
+
+    A page below the first is the first; one behind the last has no rows: only a caller that knows the number can clamp."""
     types = dict(df.dtypes)
     tests = [grid_condition(F.col(c), name, *args, text=types[c] == "string") for c, conditions in (filters or {}).items() for name, *args in conditions]
     found = df.filter(all_of(F.lit(True), *tests))
     ordered = sort_rows(found, sort, tie=tie) if sort else found.orderBy(tie) if tie else found
-    return page(ordered, number, size), found.count()
+    return ordered.offset((max(1, number) - 1) * size).limit(size), found.count()
 
 
 def search(df: DataFrame, query: str, key: str, columns: list[str]) -> DataFrame:

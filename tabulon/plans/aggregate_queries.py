@@ -42,12 +42,11 @@ def count_columns(t):
     return t.lineitem.agg(A.agg("COUNT", "l_quantity").alias("n"), A.counta("l_returnflag").alias("n_a"), A.countblank(F.col("l_returnflag")).alias("n_blank"))
 
 
-@query("select l_orderkey % 10 as bucket, round(exp(sum(ln(1 + l_tax))), 4) as value from lineitem where l_orderkey < 500 group by 1")
-def product_small(t):
-    return t.lineitem.filter("l_orderkey < 500").groupBy((F.col("l_orderkey") % 10).alias("bucket")).agg(r4(A.agg("PRODUCT", 1 + F.col("l_tax")), "value"))
+PRODUCT_BY_ORDER_SQL = "select l_orderkey, round(exp(sum(ln(1 + l_tax))), 4) as value from lineitem group by 1"
 
 
-@query("select l_orderkey, round(exp(sum(ln(1 + l_tax))), 4) as value from lineitem group by 1")
+@query(PRODUCT_BY_ORDER_SQL, "product_small")
+@query(PRODUCT_BY_ORDER_SQL)
 def product_by_order(t):
     return t.lineitem.groupBy("l_orderkey").agg(r4(A.agg("PRODUCT", 1 + F.col("l_tax")), "value"))
 

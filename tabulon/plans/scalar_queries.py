@@ -17,19 +17,12 @@ def round_columns(rows):
     return rows.select("l_orderkey", "l_linenumber", call("ROUND", x, 1).named("round1"), r4(call("ROUNDUP", call("ROUND", x, 4), 1).named("u"), "roundup1", 1), r4(call("ROUNDDOWN", x, 1).named("d"), "rounddown1", 1), call("TRUNC", x).named("trunc0"), call("CEILING", q, 5).named("ceiling5"), call("FLOOR", q, 5).named("floor5"), call("MROUND", q, 4).named("mround4"), call("EVEN", q).named("even"), call("ODD", q).named("odd"))
 
 
-@query(
-    """select l_orderkey, l_linenumber, round(l_extendedprice, 1) as round1, ceil(round(l_extendedprice * 10, 4)) / 10 as roundup1, floor(round(l_extendedprice * 10, 4)) / 10 as rounddown1, trunc(l_extendedprice) as trunc0,
-       ceil(l_quantity / 5) * 5 as ceiling5, floor(l_quantity / 5) * 5 as floor5, floor(l_quantity / 4 + 0.5) * 4 as mround4, ceil(l_quantity / 2) * 2 as even, ceil((l_quantity + 1) / 2) * 2 - 1 as odd from lineitem where l_orderkey % 7 = 0"""
-)
-def round_family(t):
-    rows = t.lineitem.filter("l_orderkey % 7 = 0")
-    return round_columns(rows)
+ROUND_FAMILY_ALL_SQL = """select l_orderkey, l_linenumber, round(l_extendedprice, 1) as round1, ceil(round(l_extendedprice * 10, 4)) / 10 as roundup1, floor(round(l_extendedprice * 10, 4)) / 10 as rounddown1, trunc(l_extendedprice) as trunc0,
+       ceil(l_quantity / 5) * 5 as ceiling5, floor(l_quantity / 5) * 5 as floor5, floor(l_quantity / 4 + 0.5) * 4 as mround4, ceil(l_quantity / 2) * 2 as even, ceil((l_quantity + 1) / 2) * 2 - 1 as odd from lineitem"""
 
 
-@query(
-    """select l_orderkey, l_linenumber, round(l_extendedprice, 1) as round1, ceil(round(l_extendedprice * 10, 4)) / 10 as roundup1, floor(round(l_extendedprice * 10, 4)) / 10 as rounddown1, trunc(l_extendedprice) as trunc0,
-       ceil(l_quantity / 5) * 5 as ceiling5, floor(l_quantity / 5) * 5 as floor5, floor(l_quantity / 4 + 0.5) * 4 as mround4, ceil(l_quantity / 2) * 2 as even, ceil((l_quantity + 1) / 2) * 2 - 1 as odd from lineitem"""
-)
+@query(ROUND_FAMILY_ALL_SQL, "round_family")
+@query(ROUND_FAMILY_ALL_SQL)
 def round_family_all(t):
     return round_columns(t.lineitem)
 
@@ -125,24 +118,21 @@ def days360(t):
     return serials(t).select("o_orderkey", call("DAYS360", s, end).named("days360"), r4(call("YEARFRAC", s, end).named("v"), "yearfrac", 6))
 
 
-@query("select o_orderkey, (select count(*) from range(o_orderdate::date, o_orderdate::date + interval 30 day, interval 1 day) as r(d) where isodow(d) < 6)::double as networkdays from orders where o_orderkey % 10 = 0")
-def networkdays(t):
-    s = number("s")
-    return serials(t).filter("o_orderkey % 10 = 0").select("o_orderkey", dates.networkdays(s, s + 29).named("networkdays"))
+NETWORKDAYS_ALL_SQL = "select o_orderkey, (select count(*) from range(o_orderdate::date, o_orderdate::date + interval 30 day, interval 1 day) as r(d) where isodow(d) < 6)::double as networkdays from orders"
 
 
-@query("select o_orderkey, (select count(*) from range(o_orderdate::date, o_orderdate::date + interval 30 day, interval 1 day) as r(d) where isodow(d) < 6)::double as networkdays from orders")
+@query(NETWORKDAYS_ALL_SQL, "networkdays")
+@query(NETWORKDAYS_ALL_SQL)
 def networkdays_all(t):
     s = number("s")
     return serials(t).select("o_orderkey", dates.networkdays(s, s + 29).named("networkdays"))
 
 
-@query("select o_orderkey, date_diff('day', date '1899-12-30', (select d from (select d::date as d, row_number() over (order by d) as k from range(o_orderdate::date + interval 1 day, o_orderdate::date + interval 40 day, interval 1 day) as r(d) where isodow(d) < 6) where k = 10))::double as workday from orders where o_orderkey % 10 = 0")
-def workday(t):
-    return serials(t).filter("o_orderkey % 10 = 0").select("o_orderkey", dates.workday(number("s"), 10).named("workday"))
+WORKDAY_ALL_SQL = "select o_orderkey, date_diff('day', date '1899-12-30', (select d from (select d::date as d, row_number() over (order by d) as k from range(o_orderdate::date + interval 1 day, o_orderdate::date + interval 40 day, interval 1 day) as r(d) where isodow(d) < 6) where k = 10))::double as workday from orders"
 
 
-@query("select o_orderkey, date_diff('day', date '1899-12-30', (select d from (select d::date as d, row_number() over (order by d) as k from range(o_orderdate::date + interval 1 day, o_orderdate::date + interval 40 day, interval 1 day) as r(d) where isodow(d) < 6) where k = 10))::double as workday from orders")
+@query(WORKDAY_ALL_SQL, "workday")
+@query(WORKDAY_ALL_SQL)
 def workday_all(t):
     return serials(t).select("o_orderkey", dates.workday(number("s"), 10).named("workday"))
 
@@ -181,12 +171,11 @@ def complex_columns(rows):
     return made.select("p_partkey", "z", call("IMREAL", z).named("re"), call("IMAGINARY", z).named("im"), r4(call("IMABS", z).named("v"), "size", 6), call("IMSUB", z, "-2+i").named("difference"))
 
 
-@query("select p_partkey, p_size || '+' || (p_size + 1) || 'i' as z, p_size::double as re, (p_size + 1)::double as im, round(sqrt(p_size * p_size + (p_size + 1) * (p_size + 1)), 6) as size, (p_size + 2) || '+' || p_size || 'i' as difference from part where p_size > 1")
-def complex_numbers(t):
-    return complex_columns(t.part.filter("p_size > 1"))
+COMPLEX_NUMBERS_ALL_SQL = "select p_partkey, p_size || '+' || (p_size + 1) || 'i' as z, p_size::double as re, (p_size + 1)::double as im, round(sqrt(p_size * p_size + (p_size + 1) * (p_size + 1)), 6) as size, (p_size + 2) || '+' || case when p_size = 1 then '' else p_size::varchar end || 'i' as difference from part"
 
 
-@query("select p_partkey, p_size || '+' || (p_size + 1) || 'i' as z, p_size::double as re, (p_size + 1)::double as im, round(sqrt(p_size * p_size + (p_size + 1) * (p_size + 1)), 6) as size, (p_size + 2) || '+' || case when p_size = 1 then '' else p_size::varchar end || 'i' as difference from part")
+@query(COMPLEX_NUMBERS_ALL_SQL, "complex_numbers")
+@query(COMPLEX_NUMBERS_ALL_SQL)
 def complex_numbers_all(t):
     return complex_columns(t.part)
 

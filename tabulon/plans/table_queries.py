@@ -65,36 +65,31 @@ def validators(t):
     return t.part.agg(F.count_if(validate(F.col("p_name"), "text") & F.col("p_name").rlike("^[a-z]+ [a-z]+$")).alias("n_text"), F.count_if(validate(F.col("p_size"), "numeric")).alias("n_numeric"), F.count_if(validate(F.col("p_type"), "list", choices=("ECONOMY", "PROMO"))).alias("n_list"))
 
 
-@query("select row_number() over (order by b, c_acctbal desc, c_custkey) as place, c_custkey from (select c_custkey, case when c_acctbal >= 0 then c_acctbal end as c_acctbal, c_acctbal < 0 as b from customer) order by b, c_acctbal desc, c_custkey limit 200")
-def sort_blanks_last(t):
-    blanked = t.customer.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"))
-    top = O.sort_rows(blanked, ("c_acctbal", "desc"), tie="c_custkey").limit(200)
-    return top.select(F.row_number().over(Window.orderBy(F.col("c_acctbal").isNull(), F.desc("c_acctbal"), "c_custkey")).cast("long").alias("place"), "c_custkey")
-
-
-@query("select c_custkey, c_mktsegment, c_acctbal from customer order by c_mktsegment, c_acctbal desc, c_custkey limit 100")
-def sort_multi(t):
-    return O.sort_rows(t.customer, ("c_mktsegment", "asc"), ("c_acctbal", "desc"), text=("c_mktsegment",), tie="c_custkey").limit(100).select("c_custkey", "c_mktsegment", "c_acctbal")
-
-
-@query("select 'item' || s_suppkey as label from supplier order by s_suppkey limit 30")
-def sort_natural(t):
-    return O.sort_rows(t.supplier.select(F.concat(F.lit("item"), "s_suppkey").alias("label")), ("label", "asc"), text=("label",)).limit(30)
+SORT_BLANKS_LAST_ALL_SQL = "select row_number() over (order by b, c_acctbal desc, c_custkey) as place, c_custkey from (select c_custkey, case when c_acctbal >= 0 then c_acctbal end as c_acctbal, c_acctbal < 0 as b from customer)"
 
 
-@query("select row_number() over (order by b, c_acctbal desc, c_custkey) as place, c_custkey from (select c_custkey, case when c_acctbal >= 0 then c_acctbal end as c_acctbal, c_acctbal < 0 as b from customer)")
+@query(SORT_BLANKS_LAST_ALL_SQL, "sort_blanks_last")
+@query(SORT_BLANKS_LAST_ALL_SQL)
 def sort_blanks_last_all(t):
     blanked = t.customer.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"))
     return O.with_places(blanked, *O.sort_order(("c_acctbal", "desc"), tie="c_custkey")).select("place", "c_custkey")
 
 
-@query("select row_number() over (order by c_mktsegment, c_acctbal desc, c_custkey) as place, c_custkey, c_mktsegment, c_acctbal from customer")
+SORT_MULTI_ALL_SQL = "select row_number() over (order by c_mktsegment, c_acctbal desc, c_custkey) as place, c_custkey, c_mktsegment, c_acctbal from customer"
+
+
+@query(SORT_MULTI_ALL_SQL, "sort_multi")
+@query(SORT_MULTI_ALL_SQL)
 def sort_multi_all(t):
     order = O.sort_order(("c_mktsegment", "asc"), ("c_acctbal", "desc"), text=("c_mktsegment",), tie="c_custkey")
     return O.with_places(t.customer, *order).select("place", "c_custkey", "c_mktsegment", "c_acctbal")
 
 
-@query("select row_number() over (order by s_suppkey) as place, 'item' || s_suppkey as label from supplier")
+SORT_NATURAL_ALL_SQL = "select row_number() over (order by s_suppkey) as place, 'item' || s_suppkey as label from supplier"
+
+
+@query(SORT_NATURAL_ALL_SQL, "sort_natural")
+@query(SORT_NATURAL_ALL_SQL)
 def sort_natural_all(t):
     labels = t.supplier.select(F.concat(F.lit("item"), "s_suppkey").alias("label"))
     return O.with_places(labels, *O.sort_order(("label", "asc"), text=("label",))).select("place", "label")
@@ -254,13 +249,11 @@ def duplicate_keys(t):
     return R.duplicate_keys(t.lineitem.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("k")), "k")
 
 
-@query("select cast(o_orderkey as varchar) as key, 'matched' as status from orders where o_orderkey % 3 = 0")
-def reconcile_key_digits(t):
-    some = t.orders.filter("o_orderkey % 3 = 0")
-    return R.reconcile(some.select(F.concat(F.lit("Order #"), "o_orderkey").alias("k"), "o_orderstatus"), some.select(F.col("o_orderkey").cast("string").alias("k"), "o_orderstatus"), "k", ["o_orderstatus"], how="digits").select("key", "status")
+RECONCILE_KEY_DIGITS_ALL_SQL = "select cast(o_orderkey as varchar) as key, 'matched' as status from orders"
 
 
-@query("select cast(o_orderkey as varchar) as key, 'matched' as status from orders")
+@query(RECONCILE_KEY_DIGITS_ALL_SQL, "reconcile_key_digits")
+@query(RECONCILE_KEY_DIGITS_ALL_SQL)
 def reconcile_key_digits_all(t):
     left, right = (t.orders.select(k.alias("k"), "o_orderstatus") for k in (F.concat(F.lit("Order #"), "o_orderkey"), F.col("o_orderkey").cast("string")))
     return R.reconcile(left, right, "k", ["o_orderstatus"], how="digits").select("key", "status")
