@@ -4,7 +4,8 @@ The join is a sparse product of the document-by-shingle incidence with itself, i
 the part is formed that can hold a pair: shingles are put in one global order, rare ones first (by a sketch of counts of
 fixed size), and two sets of Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles. Pairs whose sizes
 or places rule them out are never formed. For the others the product is summed: the incidence of all shingles of both
-nodes is cut into blocks of shingles, each block adds its count of common ones to the pair, and the sum decides.
+nodes is cut into two blocks of shingles, each adds its count of common ones to the pair, pairs that the first block rules
+out leave early, and the sum decides.
 
 Equal sets form one class first, so that copies cost nothing. A block of similar documents does not need all its pairs:
 only components are asked for. First every member is compared with one hub of the block; components follow; then, in
@@ -41,7 +42,7 @@ SKETCH_BLOCKS = 32
 BROADCAST_ROWS = 2_000_000
 #: Shingles in open blocks that a node's rows carry as a list at most.
 LISTED = 1024
-#: Blocks of shingles, by their first bits, in which the product is formed and summed.
+#: The first block of the product holds the shingles whose first bits are 0: a quarter of them. All others are the second.
 BLOCK_BITS = 2
 #: Members of a block that meet its others in one task.
 PART = 2000
@@ -155,7 +156,7 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def pieces(texts: DataFrame, k: int, first: bool) -> DataFrame:
     """Rows of the incidence matrix: (node, n, block, own), own the node's shingles in that block, n all of them. The first
-    block alone has a row for every node, the others (not ``first``) where it has shingles."""
+    block (0) has a row for every node, all others together (1) where it has shingles."""
     out = arrow_schema(PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,7 @@ def pieces(texts: DataFrame, k: int, first: bool) -> DataFrame:
                 new = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
                 hashes, doc = hashes[new], doc[new]
                 n = np.bincount(doc, minlength=batch.num_rows)
-                key = doc << BLOCK_BITS | (hashes >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
+                key = doc << BLOCK_BITS | np.minimum(hashes >> np.uint64(64 - BLOCK_BITS), 1).astype(np.int64)
                 mine = (key & (1 << BLOCK_BITS) - 1 == 0) == first
                 keys = np.arange(batch.num_rows) << BLOCK_BITS if first else np.unique(key[mine])
                 ends = np.searchsorted(key[mine], keys, "right")
