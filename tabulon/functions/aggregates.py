@@ -75,14 +75,18 @@ def percentile_inc(x: Column, k: float) -> Column:
     return F.percentile(x, F.lit(k))
 
 
-def percentile_exc(x: Column, k: float) -> Column:
-    """Position k (n + 1) among the sorted values, interpolated; null outside of them."""
-    at = F.lit(k) * (F.count(x) + 1) - 1
-    share = at / F.when(F.count(x) > 1, F.count(x) - 1)
-    values = F.sort_array(F.collect_list(x))
-    low = F.floor(F.greatest(at, F.lit(0.0))).cast("int")
-    a, b = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
-    return F.when((at >= 0) & (share <= 1), a + (b - a) * (at - low))
+def percentile_exc(df: DataFrame, col: str, k: float, by: list[str] = ()) -> DataFrame:
+    """Position k (n + 1) among the sorted values, interpolated; null outside of them. From counts of distinct values: a group
+    is never held as one array."""
+    counts = df.groupBy(*by, col).agg(F.count(col).alias("count"))
+    group = Window.partitionBy(*by)
+    at = F.lit(k) * (F.sum("count").over(group) + 1)
+    end = F.sum("count").over(group.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.withColumns({"n": F.sum("count").over(group), "end": end, "at": at}).withColumn("low", F.floor("at"))
+    value = lambda place: F.max(F.when((F.col("end") - F.col("count") < place) & (place <= F.col("end")), F.col(col)))
+    a, b = value(F.col("low")), value(F.least(F.col("low") + 1, F.col("n")))
+    inside = (F.max("at") >= 1) & (F.max("at") <= F.max("n"))
+    return rows.groupBy(*by).agg(F.when(inside, a + (b - a) * (F.max("at") - F.max("low"))).alias("value"))
 
 
 def quartile_inc(x: Column, q: int) -> Column:

@@ -8,13 +8,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.operators.ordering import with_places
+
 CELL = ["sheet", "row", "col", "formula", "kind", "value"]
+#: Rows of a block in which cells meet ranges.
+BLOCK_ROWS = 4096
 
 
 def to_cells(df: DataFrame, sheet: str, order: str, columns: list[str]) -> DataFrame:
     """The cells of a table; rows are numbered from 0 in the given order, blanks have no cell."""
     kinds = {c: "text" if t == "string" else "bool" if t == "boolean" else "number" for c, t in df.dtypes}
-    numbered = df.select(F.row_number().over(Window.orderBy(order)).alias("_row"), *columns)
+    numbered = with_places(df.select(F.col(order).alias("_order"), *columns), "_order", name="_row")
     cells = F.array(*(F.struct(F.lit(i).alias("col"), F.lit(kinds[c]).alias("kind"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)))
     return numbered.select(F.lit(sheet).alias("sheet"), (F.col("_row") - 1).cast("long").alias("row"), F.explode(cells).alias("c")).select("sheet", "row", "c.col", F.lit(None).cast("string").alias("formula"), "c.kind", "c.value").filter("value is not null")
 
@@ -87,6 +91,23 @@ def verify(cells: DataFrame, expectations: DataFrame) -> DataFrame:
     return found.select("label", F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
+def verify_ranges(cells: DataFrame, expectations: DataFrame) -> DataFrame:
+    """(label, passed) of expectations (label, sheet, top, left, bottom, right, check, number, tolerance) of ranges, bounds
+    included: sum or count of their numbers, no_error. Equal expectations are answered once. Cells meet ranges by blocks of
+    rows, and the sums of a range combine before they are shuffled."""
+    keys = ["label", "sheet", "top", "left", "bottom", "right", "check", "number", "tolerance"]
+    block = lambda c: F.floor(F.col(c) / BLOCK_ROWS)
+    dealt = expectations.select(*keys, F.explode(F.sequence(block("top"), block("bottom"))).alias("_block"))
+    number = F.when(F.col("kind") == "number", F.col("value").try_cast("double"))
+    own = cells.select(F.col("sheet").alias("_sheet"), "row", "col", "kind", number.alias("x"), block("row").alias("_own"))
+    inside = F.col("row").between(F.col("top"), F.col("bottom")) & F.col("col").between(F.col("left"), F.col("right"))
+    met = dealt.join(own, (F.col("sheet") == F.col("_sheet")) & (F.col("_block") == F.col("_own")) & inside, "left")
+    found = met.groupBy(*keys).agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("total"), F.count("x").alias("numbers"), F.count_if(F.col("kind") == "error").alias("errors"))
+    close = F.abs(F.col("total") - F.col("number")) <= F.coalesce("tolerance", F.lit(1e-9))
+    passed = F.when(F.col("check") == "sum", close).when(F.col("check") == "count", F.col("numbers") == F.col("number")).when(F.col("check") == "no_error", F.col("errors") == 0)
+    return found.select("label", F.coalesce(passed, F.lit(False)).alias("passed"))
+
+
 def replay(ops: DataFrame, upto: int | None = None) -> DataFrame:
     """The cells that a journal of writes (revision, seq, sheet, row, col, value, undone) leads to: the last write of each
     cell that is not undone; a null value clears the cell."""

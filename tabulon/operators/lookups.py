@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.operators.ordering import with_places
+
 
 def lookup_exact(left: DataFrame, target: str, right: DataFrame, key: str, value: str, order: str, missing=None, name: str = "found") -> DataFrame:
     """XLOOKUP and VLOOKUP with exact match: the value of the first row (by ``order``) whose key is the target, without
@@ -57,13 +59,13 @@ def lookup_sorted(left: DataFrame, target: str, right: DataFrame, key: str, valu
 
 
 def index_rows(left: DataFrame, place: str, right: DataFrame, order: str, value: str, name: str = "found") -> DataFrame:
-    """INDEX: the value of the right table's n-th row (from 1) in the given order, for small tables that rows are counted in."""
-    numbered = right.select(F.row_number().over(Window.orderBy(order)).alias("_place"), F.col(value).alias(name))
-    return left.join(F.broadcast(numbered), F.floor(F.col(place)) == F.col("_place"), "left").drop("_place")
+    """INDEX: the value of the right table's n-th row (from 1) in the given order."""
+    numbered = with_places(right.select(F.col(order).alias("_order"), F.col(value).alias(name)), "_order", name="_place").drop("_order")
+    return left.join(numbered, F.floor(F.col(place)) == F.col("_place"), "left").drop("_place")
 
 
 def match_positions(left: DataFrame, target: str, right: DataFrame, key: str, order: str, name: str = "position") -> DataFrame:
     """MATCH with exact match: the place (from 1) of the first row of the right table, in the given order, with the target."""
-    numbered = right.select(F.col(key).alias("_key"), F.row_number().over(Window.orderBy(order)).alias("_place"))
+    numbered = with_places(right.select(F.col(order).alias("_order"), F.col(key).alias("_key")), "_order", name="_place")
     first = numbered.groupBy("_key").agg(F.min("_place").alias(name))
     return left.join(first, F.col(target) == F.col("_key"), "left").drop("_key")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.criteria import lenient_number
+from tabulon.session import discard, stage
+
+#: Characters of a key that meet texts in an equi-join at most.
+LONGEST = 64
 
 
 def transformed(key: Column, how: str = "none") -> Column:
@@ -17,60 +23,162 @@ def duplicate_keys(df: DataFrame, key: str, how: str = "none") -> DataFrame:
     return df.groupBy(transformed(F.col(key), how).alias("key")).count().filter("count > 1")
 
 
-def reconcile(left: DataFrame, right: DataFrame, key: str, compare: list[str], tolerance: float = 0.0, how: str = "none") -> DataFrame:
-    """(key, status, one left_, right_ and delta_ column a compared one, differs) by an outer join on the transformed key.
+def compared_columns(left: DataFrame, right: DataFrame, key: str, named: list[str] | None = None) -> list[str]:
+    """The columns to compare: those named, or every column of the left table but the key; the right table must have them."""
+    names = [c for c in left.columns if c != key] if named is None else list(named)
+    missing = [c for c in names if c not in left.columns or c not in right.columns]
+    if missing:
+        raise ValueError(f"no such column on both sides: {', '.join(missing)}")
+    return names
 
-    Numbers differ by more than the tolerance, texts by any character. Keys that either side has more than once are
-    ambiguous: such a key is counted, not joined, so that no group of copies is multiplied with another.
-    """
-    sides = []
-    for df, name in ((left, "left"), (right, "right")):
-        k = transformed(F.col(key), how).alias("key")
-        first = [F.first(F.col(c)).alias(f"{name}_{c}") for c in compare]
-        sides.append(df.groupBy(k).agg(F.count("*").alias(f"n_{name}"), *first))
-    both = sides[0].join(sides[1], "key", "full_outer")
-    kinds = dict(left.dtypes)
-    differs = F.lit(False)
+
+def compared(both: DataFrame, compare: list[str], kinds: dict[str, str], tolerance: float) -> DataFrame:
+    """The delta_ columns of joined rows, and whether they differ and differ beyond the tolerance.
+
+    Numbers differ if their delta is not 0; a tolerance only excuses them. Texts differ by any character, which no
+    tolerance excuses."""
+    differs = outside = F.lit(False)
     for c in compare:
         a, b = F.col(f"left_{c}"), F.col(f"right_{c}")
         x, y = (lenient_number(v) if kinds[c] == "string" else v.cast("double") for v in (a, b))
         numeric = x.isNotNull() & y.isNotNull()
         both = both.withColumn(f"delta_{c}", F.when(numeric, y - x))
-        differs = differs | F.when(numeric, F.abs(y - x) > tolerance).otherwise(~a.eqNullSafe(b))
+        differs = differs | F.when(numeric, y - x != 0).otherwise(~a.eqNullSafe(b))
+        outside = outside | F.when(numeric, F.abs(y - x) > tolerance).otherwise(~a.eqNullSafe(b))
+    return both.withColumns({"_differs": differs, "_outside": outside})
+
+
+def reconcile(left: DataFrame, right: DataFrame, key: str, compare: list[str] | None = None, tolerance: float = 0.0, how: str = "none") -> DataFrame:
+    """(key, status, material, n_left, n_right, one left_, right_ and delta_ column a compared one) by an outer join on the
+    transformed key; without ``compare`` all columns of the left table but the key are compared.
+
+    A pair with any difference is a diff; it is material if a difference is beyond the tolerance, as are all keys of one
+    side and ambiguous ones. Keys that either side has more than once are ambiguous: such a key is counted, not joined, so
+    that no group of copies is multiplied with another; the least of its rows is shown.
+    """
+    compare = compared_columns(left, right, key, compare)
+    sides = []
+    for df, name in ((left, "left"), (right, "right")):
+        k = transformed(F.col(key), how).alias("key")
+        least = [F.min(F.struct(*compare)).alias("_least")] if compare else []
+        made = df.groupBy(k).agg(F.count("*").alias(f"n_{name}"), *least)
+        sides.append(made.select("key", f"n_{name}", *(F.col(f"_least.{c}").alias(f"{name}_{c}") for c in compare)))
+    both = compared(sides[0].join(sides[1], "key", "full_outer"), compare, dict(left.dtypes), tolerance)
     status = (
         F.when(F.col("n_right").isNull(), "only_left")
         .when(F.col("n_left").isNull(), "only_right")
         .when((F.col("n_left") > 1) | (F.col("n_right") > 1), "ambiguous")
-        .when(differs, "diff")
+        .when(F.col("_differs"), "diff")
         .otherwise("matched")
     )
-    return both.withColumn("status", status)
+    return settled(both.withColumn("status", status))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """With the column material: rows of one side, ambiguous ones, and differences beyond the tolerance."""
+    missing = F.col("status").isin("only_left", "only_right", "ambiguous")
+    return rows.withColumn("material", missing | ((F.col("status") == "diff") & F.col("_outside"))).drop("_differs", "_outside")
+
+
+def is_material(reconciled: DataFrame, strict: bool = False) -> bool:
+    """Whether a reconciliation should fail a build; ``strict`` counts differences within the tolerance too."""
+    return not reconciled.filter(F.col("status") != "matched" if strict else F.col("material")).isEmpty()
 
 
 def summary(reconciled: DataFrame) -> DataFrame:
     """Counts by status; matched includes those that differ."""
     count = lambda *s: F.count_if(F.col("status").isin(*s))
-    return reconciled.agg(count("matched", "diff").alias("matched"), count("diff").alias("diff"), count("only_left").alias("only_left"), count("only_right").alias("only_right"), count("ambiguous").alias("ambiguous"))
+    outside = F.count_if((F.col("status") == "diff") & F.col("material")).alias("diff_outside_tolerance")
+    return reconciled.agg(count("matched", "diff").alias("matched"), count("diff").alias("diff"), outside, count("only_left").alias("only_left"), count("only_right").alias("only_right"), count("ambiguous").alias("ambiguous"))
 
 
-def column_diffs(reconciled: DataFrame, compare: list[str]) -> DataFrame:
-    """A row for each compared number that differs in a matched pair."""
+def column_diffs(reconciled: DataFrame, compare: list[str], tolerance: float = 0.0) -> DataFrame:
+    """A row for each compared column that differs in a matched pair: (key, column, left, right, delta, within_tolerance),
+    both values as texts; a text has no delta and is never within the tolerance."""
     rows = reconciled.filter(F.col("status") == "diff")
-    pieces = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"left_{c}").cast("double").alias("left"), F.col(f"right_{c}").cast("double").alias("right"), F.col(f"delta_{c}").alias("delta")) for c in compare))
-    return rows.select("key", F.explode(pieces).alias("d")).select("key", "d.*").filter("delta <> 0")
-
-
-def contained(left: DataFrame, right: DataFrame, key: str, text: str, how: str = "alnum", least: int = 3) -> DataFrame:
-    """(left_key, n_candidates): right rows whose transformed text holds the left key, whatever the case; keys match nothing
-    if they are empty. Keys of ``least`` characters or more meet the texts through the texts' substrings of their first
-    ``least`` characters, an equi-join; shorter ones through substrings of their whole length."""
-    keys = left.select(F.upper(transformed(F.col(key), how)).alias("left_key")).filter(F.length("left_key") > 0).withColumn("n", F.least(F.length("left_key"), F.lit(least)))
-    keys = keys.withColumn("gram", F.substring("left_key", F.lit(1), F.col("n")))
-    texts = right.select(F.monotonically_increasing_id().alias("row"), F.upper(transformed(F.col(text), how)).alias("t"))
-    def pieces(k: int):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - k + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(k)))
-
-    grams = F.array_distinct(F.flatten(F.array(*map(pieces, range(1, least + 1)))))
-    hits = keys.select("left_key", "gram").distinct().join(texts.select("row", "t", F.explode(grams).alias("gram")), "gram").filter(F.contains("t", "left_key"))
-    found = hits.groupBy("left_key").agg(F.count_distinct("row").alias("n_candidates"))
-    return keys.select("left_key").join(found, "left_key", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+    text = lambda side, c: F.col(f"{side}_{c}").cast("string").alias(side)
+    pieces = F.array(*(F.struct(F.lit(c).alias("column"), text("left", c), text("right", c), F.col(f"delta_{c}").alias("delta")) for c in compare))
+    found = rows.select("key", F.explode(pieces).alias("d")).select("key", "d.*")
+    different = F.when(F.col("delta").isNotNull(), F.col("delta") != 0).otherwise(~F.col("left").eqNullSafe(F.col("right")))
+    return found.filter(different).withColumn("within_tolerance", F.coalesce(F.abs("delta") <= tolerance, F.lit(False)))
+
+
+def candidates(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(left_row, right_row) of keys (left_row, key) that stand in texts (right_row, text), whatever the case; an empty key
+    is in no text. Keys meet the substrings of texts of their own length in an equi-join, so that only pairs that match are
+    formed; of keys over ``LONGEST`` characters the first ones meet, and the pairs are tested."""
+    lowered = keys.select("left_row", F.lower("key").alias("key")).filter(F.length("key") > 0)
+    size = F.least(F.length("key"), F.lit(LONGEST))
+    sizes = [r[0] for r in lowered.select(size.alias("n")).distinct().collect()]  # at most LONGEST
+    t = F.lower("text")
+
+    def pieces(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    grams = texts.select("right_row", "text", F.explode(F.array_distinct(F.flatten(F.array(*map(pieces, sizes))))).alias("gram")) if sizes else texts.select("right_row", "text", F.lit("").alias("gram")).limit(0)
+    met = lowered.withColumn("gram", F.substring("key", F.lit(1), size)).join(grams, "gram")
+    return met.filter((F.length("key") <= LONGEST) | F.contains(F.lower("text"), F.col("key"))).select("left_row", "right_row")
+
+
+def claims(edges: DataFrame) -> DataFrame:
+    """(left_row, right_row, n_candidates): what every left row finds if they come in order and a left row with one candidate
+    claims it. A round decides all left rows that no earlier open one shares a candidate with; rounds end with the edges."""
+    edges, decided = stage(edges, "edges"), []
+    while not edges.isEmpty():
+        first = edges.groupBy("right_row").agg(F.min("left_row").alias("first"))
+        state = edges.join(first, "right_row").groupBy("left_row").agg(F.bool_and(F.col("left_row") == F.col("first")).alias("free"), F.count("*").alias("n_candidates"))
+        now = stage(edges.join(state.filter("free").drop("free"), "left_row"), "decided")
+        decided.append(now)
+        rest = edges.join(now.select("left_row").distinct(), "left_row", "left_anti")
+        before, edges = edges, stage(rest.join(now.filter("n_candidates = 1").select("right_row"), "right_row", "left_anti"), "edges")
+        discard(before)
+    return reduce(DataFrame.union, decided) if decided else edges.withColumn("n_candidates", F.lit(0).cast("long"))
+
+
+def reconcile_contains(left: DataFrame, right: DataFrame, key: str, text: str, left_row: str, right_row: str, compare: list[str] = (), tolerance: float = 0.0, how: str = "none") -> DataFrame:
+    """Left keys that stand in right texts: (left_row, right_row, key, status, material, n_candidates, candidate_index, one
+    left_, right_ and delta_ column a compared one).
+
+    ``left_row`` and ``right_row`` name columns that number the rows; left rows come in that order. One with a single
+    candidate is matched (or a diff) and claims it, so that later ones do not see it; one with several is ambiguous,
+    claims none and has a row for each; right rows that nothing claims are only_right."""
+    compare = compared_columns(left, right, key, compare)
+    own = left.select(F.col(left_row).alias("left_row"), transformed(F.col(key), how).alias("key"), *(F.col(c).alias(f"left_{c}") for c in compare))
+    other = right.select(F.col(right_row).alias("right_row"), transformed(F.col(text), how).alias("text"), *(F.col(c).alias(f"right_{c}") for c in compare))
+    found = claims(candidates(own.select("left_row", "key"), other.select("right_row", "text")))
+    claimed = found.filter("n_candidates = 1").select("right_row")
+    mine = own.join(found, "left_row", "left").join(other.drop("text"), "right_row", "left")
+    theirs = other.join(claimed, "right_row", "left_anti").withColumn("key", F.col("text")).drop("text")
+    both = compared(mine.unionByName(theirs, allowMissingColumns=True), compare, dict(left.dtypes), tolerance)
+    status = F.when(F.col("left_row").isNull(), "only_right").when(F.col("n_candidates").isNull(), "only_left").when(F.col("n_candidates") > 1, "ambiguous").when(F.col("_differs"), "diff").otherwise("matched")
+    turn = F.row_number().over(Window.partitionBy("left_row").orderBy("right_row")) - 1
+    ambiguous = both.filter("n_candidates > 1").withColumn("candidate_index", turn)
+    rest = both.filter("coalesce(n_candidates, 1) = 1").withColumn("candidate_index", F.lit(0))
+    return settled(rest.unionByName(ambiguous).withColumns({"status": status, "n_candidates": F.coalesce("n_candidates", F.lit(0))}))
+
+
+def exported(outcomes: DataFrame, left: DataFrame, right: DataFrame, status: str, side: str, left_row: str, right_row: str) -> DataFrame:
+    """The rows behind the outcomes of one status of ``reconcile_contains``: those of the left or right table, or of both
+    with _status, _key, right_ columns, _candidate_count and _candidate_index (a row for each candidate of an ambiguous key).
+    Outcomes of one side have that side's rows, whatever is asked for."""
+    side = {"only_left": "left", "only_right": "right"}.get(status, side)
+    chosen = outcomes.filter(F.col("status") == status)
+    if side == "left":
+        return left.join(chosen.select(F.col("left_row").alias(left_row)).distinct(), left_row, "left_semi")
+    if side == "right":
+        one = chosen.filter(F.col("status") != "ambiguous")
+        return right.join(one.select(F.col("right_row").alias(right_row)), right_row, "left_semi")
+    head = chosen.select(F.col("status").alias("_status"), F.col("key").alias("_key"), F.col("left_row").alias("_left"), F.col("right_row").alias("_right"), F.greatest("n_candidates", F.lit(1)).alias("_candidate_count"), F.col("candidate_index").alias("_candidate_index"))
+    named = right.select(*(F.col(c).alias(f"right_{c}") for c in right.columns))
+    joined = head.join(left, F.col("_left") == F.col(left_row), "left").join(named, F.col("_right") == F.col(f"right_{right_row}"), "left")
+    return joined.select("_status", "_key", *left.columns, *named.columns, "_candidate_count", "_candidate_index")
+
+
+def contained(left: DataFrame, right: DataFrame, key: str, text: str, how: str = "alnum") -> DataFrame:
+    """(left_key, n_candidates): right rows whose transformed text holds the left key, whatever the case."""
+    keys = left.select(F.upper(transformed(F.col(key), how)).alias("left_key")).filter(F.length("left_key") > 0)
+    texts = right.select(transformed(F.col(text), how).alias("text")).groupBy("text").count()  # equal texts meet once
+    pairs = candidates(keys.select(F.col("left_key").alias("left_row"), F.col("left_key").alias("key")).distinct(), texts.select(F.col("text").alias("right_row"), "text"))
+    found = pairs.join(texts, F.col("right_row") == F.col("text")).groupBy(F.col("left_row").alias("left_key")).agg(F.sum("count").alias("n_candidates"))
+    return keys.join(found, "left_key", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))

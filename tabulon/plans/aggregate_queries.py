@@ -95,7 +95,7 @@ def percentile_inc(t):
        select p_brand, round(max(case when k = floor(pos) then x end) + (max(case when k = floor(pos) + 1 then x end) - max(case when k = floor(pos) then x end)) * (max(pos) - floor(max(pos))), 4) as value from p group by p_brand"""
 )
 def percentile_exc(t):
-    return t.part.groupBy("p_brand").agg(r4(A.percentile_exc(F.col("p_retailprice"), 0.25), "value"))
+    return A.percentile_exc(t.part, "p_retailprice", 0.25, ["p_brand"]).withColumn("value", r4("value"))
 
 
 @query("select c_nationkey, c_acctbal as value from (select *, row_number() over (partition by c_nationkey order by c_acctbal desc) as k from customer) where k = 3")
@@ -173,14 +173,14 @@ def d_functions(t):
     return database(t.orders, CRITERIA, KINDS).agg(*(r4(A.agg(k, c), n, d) for k, c, n, d in names), F.count(x).alias("dcount"), F.count("o_orderstatus").alias("dcounta"))
 
 
-@query("select n_name as value, null::varchar as error from nation where n_nationkey = 7")
+@query("select c_name as value, null::varchar as error from customer where c_custkey = 7")
 def dget_one(t):
-    return dget(database(t.nation, [{"n_nationkey": 7}], {"n_nationkey": "number"}), "n_name")
+    return dget(database(t.customer, [{"c_custkey": 7}], {"c_custkey": "number"}), "c_name")
 
 
 @query("select null::varchar as value, '#NUM!' as error")
 def dget_several(t):
-    return dget(database(t.nation, [{"n_nationkey": "<5"}], {"n_nationkey": "number"}), "n_name")
+    return dget(database(t.customer, [{"c_custkey": "<5"}], {"c_custkey": "number"}), "c_name")
 
 
 @query("select user_id, round(sum(value / pow(1.1, k)), 4) as npv from (select user_id, value, row_number() over (partition by user_id order by ts, event_id) as k from events) group by user_id")

@@ -100,9 +100,10 @@ def page_n(t):
     return O.page(t.customer.orderBy("c_custkey"), 3).select("c_custkey")
 
 
-@query("select n_nationkey from nation order by n_nationkey limit 10 offset 20")
+@query("select c_custkey from customer order by c_custkey offset (select (ceil(count(*) / 7.0)::bigint - 1) * 7 from customer)")
 def page_clamp(t):
-    return O.page(t.nation.orderBy("n_nationkey"), 99).select("n_nationkey")
+    """A page far past the end is the last one."""
+    return O.page(t.customer.orderBy("c_custkey"), 2**40, 7).select("c_custkey")
 
 
 @query("select c_custkey, c_acctbal from customer where c_nationkey = 7 order by c_acctbal desc, c_custkey limit 5 offset 5")
@@ -110,9 +111,10 @@ def fetch_rows(t):
     return O.fetch_rows(t.customer, 2, 5, ("c_acctbal", "desc"), {"c_nationkey": [("eq", 7)]}, "c_custkey")[0].select("c_custkey", "c_acctbal")
 
 
-@query("select cast(n_nationkey as varchar) as key, 'n_name' as \"column\", n_name as text from nation where n_name ilike '%an%'")
+@query("select cast(c_custkey as varchar) as key, c.name as \"column\", c.text from customer, lateral (values ('c_name', c_name), ('c_mktsegment', c_mktsegment)) c(name, text) where c.text ilike '%UI%' or c.text ilike '%7%'")
 def search_cells(t):
-    return O.search(t.nation, "AN", "n_nationkey", ["n_name"])
+    found = [O.search(t.customer, q, "c_custkey", ["c_name", "c_mktsegment"]) for q in ("UI", "7")]
+    return found[0].union(found[1])
 
 
 @query("select lower(p_type) as key, arg_min(p_type, p_partkey) as value from part group by 1")
@@ -200,21 +202,24 @@ def lookup_asof_by(t):
     return L.lookup_sorted(left, "ts", right, "ts", "value", by=["user_id"]).select("event_id", "found")
 
 
-@query("select c_custkey, n_name as found from customer join (select n_name, row_number() over (order by n_name) as k from nation) on k = c_nationkey + 1")
+@query("select o_orderkey, c_name as found from orders left join (select c_name, row_number() over (order by c_custkey desc) as k from customer) on k = o_custkey + 1")
 def index_match(t):
-    return L.index_rows(t.customer.select("c_custkey", (F.col("c_nationkey") + 1).alias("place")), "place", t.nation, "n_name", "n_name").select("c_custkey", "found")
+    customers = t.customer.select("c_name", (-F.col("c_custkey")).alias("turn"))
+    return L.index_rows(t.orders.select("o_orderkey", (F.col("o_custkey") + 1).alias("place")), "place", customers, "turn", "c_name").select("o_orderkey", "found")
 
 
-@query("select s_suppkey, k as position from supplier join (select n_nationkey, row_number() over (order by n_name) as k from nation) on n_nationkey = s_nationkey")
+@query("select o_orderkey, k as position from orders left join (select c_custkey, row_number() over (order by c_custkey desc) as k from customer) on c_custkey = o_custkey")
 def match_exact(t):
-    return L.match_positions(t.supplier, "s_nationkey", t.nation, "n_nationkey", "n_name").select("s_suppkey", F.col("position").cast("long").alias("position"))
+    customers = t.customer.select("c_custkey", (-F.col("c_custkey")).alias("turn"))
+    return L.match_positions(t.orders, "o_custkey", customers, "c_custkey", "turn").select("o_orderkey", F.col("position").cast("long").alias("position"))
 
 
 # Reconciliation: orders against orders with other totals, keys left out and keys twice.
 
 LEFT = "(select o_orderkey as k, o_totalprice as amount, o_orderstatus as status from orders where o_orderkey % 11 <> 3)"
 RIGHT = "(select o_orderkey as k, case when o_orderkey % 5 = 0 then round(o_totalprice + 1, 2) when o_orderkey % 7 = 0 then o_totalprice + 0.001 else o_totalprice end as amount, o_orderstatus as status from orders where o_orderkey % 13 <> 4)"
-STATUS = "case when r.k is null then 'only_left' when l.k is null then 'only_right' when abs(r.amount - l.amount) > 0.01 or l.status <> r.status then 'diff' else 'matched' end"
+STATUS = "case when r.k is null then 'only_left' when l.k is null then 'only_right' when r.amount <> l.amount or l.status <> r.status then 'diff' else 'matched' end"
+MATERIAL = "(r.k is null or l.k is null or abs(r.amount - l.amount) > 0.01 or l.status <> r.status)"
 
 
 def sides(t):
@@ -223,19 +228,59 @@ def sides(t):
     return left, t.orders.filter("o_orderkey % 13 <> 4").select(F.col("o_orderkey").alias("k"), amount.alias("amount"), F.col("o_orderstatus").alias("status"))
 
 
-@query(f"select cast(coalesce(l.k, r.k) as varchar) as key, {STATUS} as status, round(r.amount - l.amount, 4) as delta from {LEFT} l full join {RIGHT} r on l.k = r.k")
+@query(f"select cast(coalesce(l.k, r.k) as varchar) as key, {STATUS} as status, {MATERIAL} as material, round(r.amount - l.amount, 4) as delta from {LEFT} l full join {RIGHT} r on l.k = r.k")
 def reconcile_tolerance(t):
-    return R.reconcile(*sides(t), "k", ["amount", "status"], 0.01).select("key", "status", r4("delta_amount", "delta"))
+    return R.reconcile(*sides(t), "k", ["amount", "status"], 0.01).select("key", "status", "material", r4("delta_amount", "delta"))
 
 
-@query(f"select count(*) filter (s in ('matched', 'diff')) as matched, count(*) filter (s = 'diff') as diff, count(*) filter (s = 'only_left') as only_left, count(*) filter (s = 'only_right') as only_right, 0::bigint as ambiguous from (select {STATUS} as s from {LEFT} l full join {RIGHT} r on l.k = r.k)")
+@query(f"select count(*) filter (s in ('matched', 'diff')) as matched, count(*) filter (s = 'diff') as diff, count(*) filter (s = 'diff' and m) as diff_outside_tolerance, count(*) filter (s = 'only_left') as only_left, count(*) filter (s = 'only_right') as only_right, 0::bigint as ambiguous from (select {STATUS} as s, {MATERIAL} as m from {LEFT} l full join {RIGHT} r on l.k = r.k)")
 def reconcile_summary(t):
     return R.summary(R.reconcile(*sides(t), "k", ["amount", "status"], 0.01))
 
 
-@query(f"select cast(l.k as varchar) as key, 'amount' as \"column\", l.amount as \"left\", r.amount as \"right\", round(r.amount - l.amount, 4) as delta from {LEFT} l join {RIGHT} r on l.k = r.k where abs(r.amount - l.amount) > 0.01")
+@query(f"select cast(l.k as varchar) as key, 'amount' as \"column\", l.amount as \"left\", r.amount as \"right\", round(r.amount - l.amount, 4) as delta, abs(r.amount - l.amount) <= 0.01 as within_tolerance from {LEFT} l join {RIGHT} r on l.k = r.k where r.amount <> l.amount")
 def reconcile_column_diffs(t):
-    return R.column_diffs(R.reconcile(*sides(t), "k", ["amount"], 0.01), ["amount"]).withColumn("delta", r4("delta"))
+    found = R.column_diffs(R.reconcile(*sides(t), "k", ["amount"], 0.01), ["amount"], 0.01)
+    return found.withColumns({"delta": r4("delta"), "left": F.col("left").cast("double"), "right": F.col("right").cast("double")})
+
+
+@query("select cast(o_custkey as varchar) as key, 'ambiguous' as status, count(*) as n_left, count(*) as n_right from orders group by o_custkey having count(*) > 1 union all select cast(o_custkey as varchar), 'matched', 1, 1 from orders group by o_custkey having count(*) = 1")
+def reconcile_ambiguous(t):
+    """Keys that both sides have several times are counted, not multiplied."""
+    side = t.orders.select("o_custkey", "o_orderpriority")
+    return R.reconcile(side, side, "o_custkey").select("key", "status", "n_left", "n_right")
+
+
+CLAIMED_SQL = """with recursive l as (select o_orderkey as left_row, 'order ' || o_orderkey || ';' as key, o_totalprice from orders where o_orderkey % 11 <> 3),
+r as (select o_orderkey as right_row, 'paid for ORDER ' || o_orderkey || '; thanks' as text, case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice from orders where o_orderkey % 13 <> 4
+      union all select -o_orderkey, 'again: order ' || o_orderkey || ';', o_totalprice from orders where o_orderkey % 17 = 2),
+n as (select left_row, count(right_row) as n from l left join r on abs(right_row) = left_row group by 1)"""
+
+
+def payments(t):
+    """Orders against texts that name them, some twice and some not at all."""
+    o = t.orders
+    left = o.filter("o_orderkey % 11 <> 3").select(F.col("o_orderkey").alias("left_row"), F.concat(F.lit("order "), "o_orderkey", F.lit(";")).alias("key"), "o_totalprice")
+    paid = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    once = o.filter("o_orderkey % 13 <> 4").select(F.col("o_orderkey").alias("right_row"), F.concat(F.lit("paid for ORDER "), "o_orderkey", F.lit("; thanks")).alias("text"), paid.alias("o_totalprice"))
+    again = o.filter("o_orderkey % 17 = 2").select((-F.col("o_orderkey")).alias("right_row"), F.concat(F.lit("again: order "), "o_orderkey", F.lit(";")).alias("text"), "o_totalprice")
+    return left, once.union(again)
+
+
+@query(CLAIMED_SQL + """ select left_row, case when n = 1 or left_row is null then right_row when n > 1 then right_row end as right_row,
+case when left_row is null then 'only_right' when n = 0 then 'only_left' when n > 1 then 'ambiguous' when price <> paid then 'diff' else 'matched' end as status, coalesce(n, 0) as n_candidates, candidate_index from (
+select l.left_row, r.right_row, n, l.o_totalprice as price, r.o_totalprice as paid, case when n > 1 then row_number() over (partition by l.left_row order by r.right_row) - 1 else 0 end as candidate_index from l join n using (left_row) left join r on abs(r.right_row) = l.left_row
+union all select null, right_row, null, null, null, 0 from r where abs(right_row) not in (select left_row from n where n = 1))""")
+def reconcile_contains_outcomes(t):
+    left, right = payments(t)
+    return R.reconcile_contains(left, right, "key", "text", "left_row", "right_row", ["o_totalprice"]).select("left_row", "right_row", "status", "n_candidates", "candidate_index")
+
+
+@query(CLAIMED_SQL + """ select 'ambiguous' as _status, l.key as _key, l.left_row, l.key, l.o_totalprice, r.right_row as right_right_row, r.text as right_text, r.o_totalprice as right_o_totalprice, n as _candidate_count, row_number() over (partition by l.left_row order by r.right_row) - 1 as _candidate_index from l join n using (left_row) join r on abs(r.right_row) = l.left_row where n > 1""")
+def reconcile_export_both(t):
+    left, right = payments(t)
+    found = R.reconcile_contains(left, right, "key", "text", "left_row", "right_row", ["o_totalprice"])
+    return R.exported(found, left, right, "ambiguous", "both", "left_row", "right_row")
 
 
 @query(f"select l.k from {LEFT} l anti join {RIGHT} r on l.k = r.k")
@@ -267,42 +312,64 @@ def reconcile_contains(t):
 # Cell mode.
 
 
+BOOK = "(select row_number() over (order by c_custkey) - 1 as r, c_custkey, c_name as v, c_acctbal from customer)"
+NEW = "(select row_number() over (order by c_custkey) - 1 as r, c_custkey, case when c_custkey % 6 = 0 then lower(c_name) else c_name end as v from customer where c_custkey <> 5)"
+
+
 def two_books(t):
-    old = t.nation.select("n_nationkey", "n_name", "n_regionkey")
-    new = old.filter("n_nationkey <> 5").withColumn("n_name", F.when(F.col("n_nationkey") % 6 == 0, F.lower("n_name")).otherwise(F.col("n_name")))
-    return [C.to_cells(x, "nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"]) for x in (old, new)]
+    """Customers, and customers without one and with other names: two tables of three columns as cells."""
+    old = t.customer.select("c_custkey", "c_name", "c_acctbal")
+    new = old.filter("c_custkey <> 5").withColumn("c_name", F.when(F.col("c_custkey") % 6 == 0, F.lower("c_name")).otherwise(F.col("c_name")))
+    return [C.to_cells(x, "book", "c_custkey", ["c_custkey", "c_name", "c_acctbal"]) for x in (old, new)]
 
 
-@query("with a as (select n_nationkey as k, n_name from nation), b as (select row_number() over (order by n_nationkey) - 1 as place, n_nationkey as k, case when n_nationkey % 6 = 0 then lower(n_name) else n_name end as n_name from nation where n_nationkey <> 5) select count(*) filter (b.place is null) as removed, count(*) filter (a.n_name is not null and b.n_name is not null and a.n_name <> b.n_name) as changed from a left join b on a.k = b.k")
+@query(f"select count(*) filter (b.r is null) as removed, count(*) filter (a.v <> b.v) as changed from {BOOK} a left join {NEW} b on a.c_custkey = b.c_custkey")
 def workbook_diff_rows(t):
     rows = C.diff_rows(*two_books(t))
     return rows.agg((F.count_if(F.col("old_row").isNotNull()) - F.count_if(F.col("new_row").isNotNull())).alias("removed"), F.count_if(F.col("new_row").isNotNull()).alias("changed"))
 
 
-@query("with a as (select n_nationkey as r, n_name as v from nation), b as (select row_number() over (order by n_nationkey) - 1 as r, case when n_nationkey % 6 = 0 then lower(n_name) else n_name end as v from nation where n_nationkey <> 5) select 'nation' as sheet, coalesce(a.r, b.r) as row, case when a.v is null then 'added' when b.v is null then 'removed' else 'changed' end as change, a.v as old, b.v as new from a full join b on a.r = b.r where a.v is distinct from b.v")
+@query(f"select 'book' as sheet, coalesce(a.r, b.r) as row, case when a.v is null then 'added' when b.v is null then 'removed' else 'changed' end as change, a.v as old, b.v as new from {BOOK} a full join {NEW} b on a.r = b.r where a.v is distinct from b.v")
 def workbook_diff_cells(t):
     return C.diff_cells(*two_books(t)).filter("col = 1").select("sheet", "row", "change", "old", "new")
 
 
-@query("select 'nation' as sheet, count(*) * 3 as n_cells, true as same from nation")
+@query("select 'book' as sheet, count(c_custkey) + count(c_name) + count(c_acctbal) as n_cells, true as same, false as same_as_new from customer")
 def fingerprint_order(t):
-    """The digest does not depend on the order or the partitions of the rows."""
-    cells = two_books(t)[0]
-    a, b = C.fingerprint(cells), C.fingerprint(cells.repartition(7, "value").orderBy(F.desc("value")))
-    return a.join(b.select("sheet", F.col("digest").alias("other")), "sheet").select("sheet", "n_cells", (F.col("digest") == F.col("other")).alias("same"))
+    """The digest depends on the cells and not on the order or the partitions of the rows."""
+    old, new = two_books(t)
+    a, b, c = C.fingerprint(old), C.fingerprint(old.repartition(7, "value").sortWithinPartitions(F.desc("value"))), C.fingerprint(new)
+    both = a.join(b.select("sheet", F.col("digest").alias("other")), "sheet").join(c.select("sheet", F.col("digest").alias("new")), "sheet")
+    return both.select("sheet", "n_cells", (F.col("digest") == F.col("other")).alias("same"), (F.col("digest") == F.col("new")).alias("same_as_new"))
 
 
-@query("select 'nation' as sheet, case when n_nationkey >= 4 then n_nationkey + 2 else n_nationkey end as row, n_name as value from nation")
+@query(f"select 'book' as sheet, case when r >= 4 then r + 2 else r end as row, v as value from {BOOK}")
 def insert_rows(t):
-    return C.insert_rows(two_books(t)[0], "nation", 4, 2).filter("col = 1").select("sheet", "row", "value")
+    return C.insert_rows(two_books(t)[0], "book", 4, 2).filter("col = 1").select("sheet", "row", "value")
 
 
-@query("select 'name ' || n_nationkey as label, n_nationkey % 2 = 0 as passed from nation")
+@query(f"select 'name ' || r as label, c_custkey % 2 = 0 as passed from {BOOK}")
 def verify_report(t):
-    wanted = t.nation.select(F.concat(F.lit("name "), "n_nationkey").alias("label"), F.lit("nation").alias("sheet"), F.col("n_nationkey").cast("long").alias("row"), F.lit(1).alias("col"), F.lit("equals").alias("check"), F.lit(None).cast("double").alias("number"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("other").alias("text"), F.lit(None).cast("double").alias("tolerance"))
+    rows = O.with_places(t.customer.select("c_custkey", "c_name"), "c_custkey")
+    row = F.col("place") - 1
+    wanted = rows.select(F.concat(F.lit("name "), row).alias("label"), F.lit("book").alias("sheet"), row.alias("row"), F.lit(1).alias("col"), F.lit("equals").alias("check"), F.lit(None).cast("double").alias("number"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("other").alias("text"), F.lit(None).cast("double").alias("tolerance"))
     return C.verify(two_books(t)[0], wanted)
 
 
+VERIFIED = "select 'rows ' || (r // 10 * 10) as tens, sum(c_custkey) as total, count(c_custkey) as n from BOOK group by 1".replace("BOOK", BOOK)
+
+
+@query(f"select 'sum of ' || tens as label, total % 2 = 0 as passed from ({VERIFIED}) union all select 'count of ' || tens, true from ({VERIFIED}) union all select 'errors of ' || tens, true from ({VERIFIED})")
+def verify_sums(t):
+    """Every ten rows of the first column: their sum (expected one too high where it is odd), their count, no errors."""
+    rows = O.with_places(t.customer.select("c_custkey"), "c_custkey").withColumn("top", F.floor((F.col("place") - 1) / 10) * 10)
+    tens = rows.groupBy("top").agg(F.sum("c_custkey").alias("total"), F.count("c_custkey").alias("n"))
+    wrong = F.col("total") + F.col("total") % 2
+    wanted = F.explode(F.array(*(F.struct(F.lit(f"{name} of rows ").alias("name"), F.lit(check).alias("check"), number.cast("double").alias("number")) for name, check, number in (("sum", "sum", wrong), ("count", "count", F.col("n")), ("errors", "no_error", F.lit(None))))))
+    ranges = tens.select("top", wanted.alias("w")).select(F.concat("w.name", F.col("top").cast("string")).alias("label"), F.lit("book").alias("sheet"), "top", F.lit(0).alias("left"), (F.col("top") + 9).alias("bottom"), F.lit(0).alias("right"), "w.check", "w.number", F.lit(None).cast("double").alias("tolerance"))
+    return C.verify_ranges(two_books(t)[0], ranges)
+
+
 JOURNAL = "(select event_id as revision, user_id as row, value, event_type as actor, event_type = 'error' as undone from events)"
 
 
@@ -338,14 +405,14 @@ def unique_values(t):
     return O.distinct_values(t.part, "p_name", "p_partkey")
 
 
-@query("select n_name from nation where n_regionkey = 2")
+@query("select c_name from customer where c_nationkey = 2")
 def filter_fn(t):
-    return t.nation.filter(F.col("n_regionkey") == 2).select("n_name")
+    return t.customer.filter(grid_condition(F.col("c_nationkey"), "eq", 2)).select("c_name")
 
 
-@query("select n_nationkey * 3 + 5 as value from nation")
+@query("select row_number() over (order by c_custkey) * 3 + 5 as value from customer")
 def sequence_fn(t):
-    return t.nation.select((F.col("n_nationkey") * 3 + 5).alias("value"))
+    return O.with_places(t.customer.select("c_custkey"), "c_custkey").select((F.col("place") * 3 + 5).alias("value"))
 
 
 @query("select 'r_name' as key, max(case when r_regionkey = 0 then r_name end) as \"0\", max(case when r_regionkey = 1 then r_name end) as \"1\", max(case when r_regionkey = 2 then r_name end) as \"2\", max(case when r_regionkey = 3 then r_name end) as \"3\", max(case when r_regionkey = 4 then r_name end) as \"4\" from region")

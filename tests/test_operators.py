@@ -1,5 +1,7 @@
 """Sources, cell mode and table operators on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +80,15 @@ def test_reconcile(spark):
     left = spark.createDataFrame([("Order #1", "10.00"), ("2", "5"), ("3", "x"), ("4", "1"), ("4", "2")], "k string, v string")
     right = spark.createDataFrame([("1", "10.005"), ("2", "6"), ("3", "y"), ("5", "1")], "k string, v string")
     got = {r["key"]: r["status"] for r in R.reconcile(left, right, "k", ["v"], 0.01, "digits").collect()}
-    assert got == {"1": "matched", "2": "diff", "3": "diff", "4": "only_left", "5": "only_right"}
+    assert got == {"1": "diff", "2": "diff", "3": "diff", "4": "only_left", "5": "only_right"}
+    found = R.reconcile(left, right, "k", ["v"], 0.01, "digits")
+    assert {r["key"]: r["material"] for r in found.collect()} == {"1": False, "2": True, "3": True, "4": True, "5": True}  # a tolerance excuses
+    assert {(r["key"], r["within_tolerance"]) for r in R.column_diffs(found, ["v"], 0.01).collect()} == {("1", True), ("2", False), ("3", False)}
+    one = found.filter("key = '1'")
+    assert not R.is_material(one) and R.is_material(one, strict=True) and R.is_material(found)
+    assert R.compared_columns(left, right, "k") == ["v"]
+    with pytest.raises(ValueError):
+        R.compared_columns(left, right, "k", ["w"])
     assert R.duplicate_keys(left, "k").count() == 1
     texts = spark.createDataFrame([("ref AB12 paid",), ("ab12 again",), ("zz",)], "t string")
     keys = spark.createDataFrame([("ab-12",), ("z",), ("",)], "k string")
@@ -115,3 +125,46 @@ def test_places(spark):
     got = {r["k"]: r["place"] for r in O.with_places(table, *O.sort_order(("x", "desc"), tie="k")).collect()}
     assert got == {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])))}
     assert O.with_places(table.limit(0), "k").count() == 0
+
+
+def plain_claims(left, right):
+    """(left row, status, candidates) in the order of the left rows; one with a single candidate claims it."""
+    used, found = set(), {}
+    for l, key in sorted(left):
+        near = [r for r, text in right if r not in used and key and key.lower() in text.lower()]
+        used |= set(near) if len(near) == 1 else set()
+        found[l] = ("only_left" if not near else "matched" if len(near) == 1 else "ambiguous", sorted(near))
+    return found, {r for r, _ in right} - used
+
+
+def test_reconcile_contains(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    left = [(i, word(rng.randint(0, 5))) for i in range(40)] + [(40, "q" * 70 + "x"), (41, "q" * 70 + "y")]
+    right = [(i, word(rng.randint(0, 7)).upper()) for i in range(30)] + [(30, "Q" * 70 + "X")]
+    found = R.reconcile_contains(spark.createDataFrame(left, "l int, key string"), spark.createDataFrame(right, "r int, text string"), "key", "text", "l", "r").collect()
+    wanted, free = plain_claims(left, right)
+    got = {}
+    for r in found:
+        if r["left_row"] is not None:
+            status, near = got.setdefault(r["left_row"], (r["status"], []))
+            near += [r["right_row"]] * (r["right_row"] is not None)
+    assert {k: (s, sorted(n)) for k, (s, n) in got.items()} == wanted
+    assert {r["right_row"] for r in found if r["left_row"] is None} == free
+    assert got[40] == ("matched", [30]) and got[41] == ("only_left", [])
+    empty = spark.createDataFrame([], "l int, key string")
+    assert R.reconcile_contains(empty, empty.toDF("r", "text"), "key", "text", "l", "r").count() == 0
+
+
+def test_verify_ranges(spark):
+    cells = spark.createDataFrame([("s", r, 0, None, "error" if r == 9000 else "number", "#N/A" if r == 9000 else "1.5") for r in range(10000)], "sheet string, row long, col int, formula string, kind string, value string")
+    rows = [("sum", "s", 100, 0, 8999, 3, "sum", 8900 * 1.5, None), ("count", "s", 0, 0, 9999, 0, "count", 9999.0, None), ("clean", "s", 0, 0, 8999, 0, "no_error", None, None), ("error", "s", 9000, 0, 9000, 0, "no_error", None, None), ("none", "t", 0, 0, 9, 9, "sum", 0.0, None), ("unknown", "s", 0, 0, 1, 1, "what", 0.0, None)]
+    ranges = spark.createDataFrame(rows, "label string, sheet string, top long, left int, bottom long, right int, `check` string, number double, tolerance double")
+    assert {r["label"]: r["passed"] for r in C.verify_ranges(cells, ranges).collect()} == {"sum": True, "count": True, "clean": True, "error": False, "none": True, "unknown": False}
+
+
+def test_percentile_exc(spark):
+    rows = [("a", float(v)) for v in (3, 1, 2, 2, 9)] + [("b", 1.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    assert {r["g"]: r["value"] for r in A.percentile_exc(df, "x", 0.4, ["g"]).collect()} == {"a": 2.0, "b": None, "c": None}
+    assert {r["g"]: r["value"] for r in A.percentile_exc(df, "x", 0.75, ["g"]).collect()} == {"a": 6.0, "b": None, "c": None}
