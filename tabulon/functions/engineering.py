@@ -104,20 +104,20 @@ function("ERFC", "ERFC.PRECISE", least=1, most=1)(numeric(lambda x: special(math
 
 #: Units of each quantity and their sizes in its base unit.
 UNITS = {
-    "mass": {"g": 1.0, "sg": 14593.902937, "lbm": 453.59237, "u": 1.66053906660e-24, "ozm": 28.349523125, "grain": 0.06479891, "cwt": 45359.237, "uk_cwt": 50802.34544, "stone": 6350.29318, "ton": 907184.74, "uk_ton": 1016046.9088},
-    "length": {"m": 1.0, "mi": 1609.344, "Nmi": 1852.0, "in": 0.0254, "ft": 0.3048, "yd": 0.9144, "ang": 1e-10, "ell": 1.143, "ly": 9460730472580800.0, "pc": 3.0856775814913673e16, "Picapt": 0.0254 / 72, "pica": 0.0254 / 6, "survey_mi": 1609.3472186944},
+    "mass": {"g": 1.0, "sg": 14593.9029372064, "lbm": 453.59237, "u": 1.660538782e-24, "ozm": 28.349523125, "grain": 0.06479891, "cwt": 45359.237, "uk_cwt": 50802.34544, "stone": 6350.29318, "ton": 907184.74, "uk_ton": 1016046.9088},
+    "length": {"m": 1.0, "mi": 1609.344, "Nmi": 1852.0, "in": 0.0254, "ft": 0.3048, "yd": 0.9144, "ang": 1e-10, "ell": 1.143, "ly": 9460730472580800.0, "pc": 3.0856775813066e16, "Picapt": 0.0254 / 72, "pica": 0.0254 / 6, "survey_mi": 1609.3472186944},
     "time": {"yr": 31557600.0, "day": 86400.0, "d": 86400.0, "hr": 3600.0, "mn": 60.0, "min": 60.0, "sec": 1.0, "s": 1.0},
-    "pressure": {"Pa": 1.0, "p": 1.0, "atm": 101325.0, "at": 101325.0, "mmHg": 133.322, "psi": 6894.757293168, "Torr": 101325.0 / 760},
+    "pressure": {"Pa": 1.0, "p": 1.0, "atm": 101325.0, "at": 101325.0, "mmHg": 133.322, "psi": 6894.75729316836, "Torr": 101325.0 / 760},
     "force": {"N": 1.0, "dyn": 1e-5, "dy": 1e-5, "lbf": 4.4482216152605, "pond": 0.00980665},
-    "energy": {"J": 1.0, "e": 1e-7, "c": 4.184, "cal": 4.1868, "eV": 1.602176634e-19, "ev": 1.602176634e-19, "HPh": 2684519.537696173, "hh": 2684519.537696173, "Wh": 3600.0, "wh": 3600.0, "flb": 1.3558179483314004, "BTU": 1055.05585262, "btu": 1055.05585262},
-    "power": {"HP": 745.6998715822702, "h": 745.6998715822702, "W": 1.0, "w": 1.0, "PS": 735.49875},
+    "energy": {"J": 1.0, "e": 1e-7, "c": 4.184, "cal": 4.1868, "eV": 1.602176487e-19, "ev": 1.602176487e-19, "HPh": 2684519.537696173, "hh": 2684519.537696173, "Wh": 3600.0, "wh": 3600.0, "flb": 1.3558179483314004, "BTU": 1055.05585262, "btu": 1055.05585262},
+    "power": {"HP": 745.69987158227, "h": 745.69987158227, "W": 1.0, "w": 1.0, "PS": 735.49875},
     "magnetism": {"T": 1.0, "ga": 1e-4},
-    "volume": {"l": 1.0, "L": 1.0, "lt": 1.0, "tsp": 0.00492892159375, "tbs": 0.01478676478125, "oz": 0.0295735295625, "cup": 0.2365882365, "pt": 0.473176473, "us_pt": 0.473176473, "uk_pt": 0.56826125, "qt": 0.946352946, "gal": 3.785411784, "uk_gal": 4.54609, "m3": 1000.0, "ft3": 28.316846592, "in3": 0.016387064},
+    "volume": {"l": 1.0, "L": 1.0, "lt": 1.0, "tsp": 0.004928921594, "tbs": 0.014786764781, "oz": 0.029573529562, "cup": 0.2365882365, "pt": 0.473176473, "us_pt": 0.473176473, "uk_pt": 0.56826125, "qt": 0.946352946, "gal": 3.785411784, "uk_gal": 4.54609, "m3": 1000.0, "ft3": 28.316846592, "in3": 0.016387064},
     "area": {"m2": 1.0, "ha": 10000.0, "us_acre": 4046.872609874252, "uk_acre": 4046.8564224, "ft2": 0.09290304, "in2": 0.00064516, "yd2": 0.83612736, "mi2": 2589988.110336},
     "information": {"bit": 1.0, "byte": 8.0},
     "speed": {"m/s": 1.0, "m/h": 1 / 3600, "mph": 0.44704, "kn": 1852 / 3600, "admkn": 0.5147733333333333},
 }
-PREFIXES = {"Y": 1e24, "Z": 1e21, "E": 1e18, "P": 1e15, "T": 1e12, "G": 1e9, "M": 1e6, "k": 1e3, "h": 1e2, "da": 1e1, "d": 1e-1, "c": 1e-2, "m": 1e-3, "u": 1e-6, "n": 1e-9, "p": 1e-12, "f": 1e-15, "a": 1e-18, "z": 1e-21, "y": 1e-24}
+PREFIXES = {"Y": 1e24, "Z": 1e21, "E": 1e18, "P": 1e15, "T": 1e12, "G": 1e9, "M": 1e6, "k": 1e3, "h": 1e2, "da": 1e1, "e": 1e1, "d": 1e-1, "c": 1e-2, "m": 1e-3, "u": 1e-6, "n": 1e-9, "p": 1e-12, "f": 1e-15, "a": 1e-18, "z": 1e-21, "y": 1e-24}
 PREFIXED = {"g", "m", "s", "sec", "Pa", "N", "J", "W", "l", "L", "T", "eV", "cal", "bit", "byte", "Wh", "e", "dyn"}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators.ordering import with_places
@@ -75,6 +75,42 @@ def insert_rows(cells: DataFrame, sheet: str, at: int, n: int) -> DataFrame:
     return kept.withColumn("row", F.when(here & (F.col("row") >= at), F.col("row") + n).otherwise(F.col("row")))
 
 
+def insert_columns(cells: DataFrame, sheet: str, at: int, n: int) -> DataFrame:
+    """Columns from ``at`` on move right by n (or, if n is negative, -n columns go and the rest moves left)."""
+    here = F.col("sheet") == sheet
+    kept = cells if n > 0 else cells.filter(~(here & F.col("col").between(at, at - n - 1)))
+    return kept.withColumn("col", F.when(here & (F.col("col") >= at), F.col("col") + n).otherwise(F.col("col")))
+
+
+def fill(cells: DataFrame, table: DataFrame, sheet: str, top: int, left: int, clear: bool = False) -> DataFrame:
+    """The cells of a template with a table's (``to_cells``) written at a corner: cells it meets are replaced; with
+    ``clear`` all literals of the sheet go first, formulas stay. Formulas of the table are stored as texts."""
+    here = F.col("sheet") == sheet
+    kept = cells.filter(~here | F.col("formula").isNotNull()) if clear else cells
+    text = F.col("formula").isNotNull()
+    come = table.select(F.lit(sheet).alias("sheet"), (F.col("row") + top).alias("row"), (F.col("col") + left).alias("col"), F.lit(None).cast("string").alias("formula"), F.when(text, "text").otherwise(F.col("kind")).alias("kind"), F.coalesce("formula", "value").alias("value"))
+    return kept.select(*CELL).join(come, ["sheet", "row", "col"], "left_anti").select(*CELL).unionByName(come)
+
+
+def column_letters(col) -> Column:
+    """A, B, ..., Z, AA, ... of a column's number from 0 to 18277."""
+    n = F.col(col) if isinstance(col, str) else col
+    letter = lambda x: F.char(F.lit(65) + F.pmod(x, F.lit(26)))
+    two, three = F.floor(n / 26) - 1, F.floor((F.floor(n / 26) - 1) / 26) - 1
+    return F.concat(F.when(n >= 702, letter(three)).otherwise(""), F.when(n >= 26, letter(two)).otherwise(""), letter(n))
+
+
+def cell_json(cells: DataFrame) -> DataFrame:
+    """(sheet, row, col, json) of a workbook's export: cell, formula (if there is one) and value, which is a JSON number or
+    boolean where the cell holds one."""
+    name = F.concat(column_letters("col"), (F.col("row") + 1).cast("string"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    number = F.col("value").try_cast("double")
+    value = F.when(F.col("value").isNull(), "null").when((F.col("kind") == "number") & number.isNotNull(), quoted(number)).when(F.col("kind") == "bool", F.lower("value")).otherwise(quoted(F.col("value")))
+    formula = F.when(F.col("formula").isNotNull(), F.concat(F.lit(',"formula":'), quoted(F.concat(F.lit("="), F.col("formula"))))).otherwise("")
+    return cells.select("sheet", "row", "col", F.concat(F.lit('{"cell":'), quoted(name), formula, F.lit(',"value":'), value, F.lit("}")).alias("json"))
+
+
 def verify(cells: DataFrame, expectations: DataFrame) -> DataFrame:
     """(label, passed) of expectations (label, sheet, row, col, check, number, text, tolerance): equals, approx, error,
     no_error, formula."""

@@ -91,6 +91,18 @@ def resolve(df: DataFrame, name: str) -> str:
     return found[0]
 
 
+def column_at(df: DataFrame, wanted: str) -> str:
+    """A column by its name, by its number (from 1) or by its letter, in this order."""
+    try:
+        return resolve(df, wanted)
+    except ValueError as unknown:
+        text = wanted.strip()
+        place = int(text) if text.isascii() and text.isdigit() else reduce(lambda n, c: n * 26 + ord(c) - 64, text.upper(), 0) if re.fullmatch("[A-Za-z]{1,3}", text) else 0
+        if not 1 <= place <= len(df.columns):
+            raise unknown
+        return df.columns[place - 1]
+
+
 def where(df: DataFrame, *clauses: str) -> DataFrame:
     """Rows that meet all clauses: numeric where the value is a number, else trimmed and without case."""
 

@@ -85,13 +85,15 @@ def running(df: DataFrame, col: str, order: list[str], by: list[str] = (), size:
 
 
 def descendants(edges: DataFrame, parent: str, child: str) -> DataFrame:
-    """(ancestor, node, level) of nested rows, level 1 for children: joins of as many rounds as the tree is deep."""
-    step = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node"), F.lit(1).alias("level"))
-    found, front, level = step, step, 1
-    links = edges.select(F.col(parent).alias("node"), F.col(child).alias("next"))
+    """(ancestor, node, level) of nested rows, level 1 for children: a node below an ancestor once, at its least level, so
+    that a cycle ends. A join a level; each level is written, so that a round starts from the last one alone."""
+    front = stage(edges.filter(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(F.col(parent).alias("ancestor"), F.col(child).alias("node")).distinct().withColumn("level", F.lit(1)), "nested")
+    found, level = front, 1
+    links = edges.select(F.col(parent).alias("node"), F.col(child).alias("next")).filter("node is not null and next is not null")
     while True:
         level += 1
-        front = front.join(links, "node").select("ancestor", F.col("next").alias("node"), F.lit(level).alias("level"))
+        below = front.join(links, "node").select("ancestor", F.col("next").alias("node")).distinct()
+        front = stage(below.join(found, ["ancestor", "node"], "left_anti").withColumn("level", F.lit(level)), "nested")
         if front.isEmpty():
             return found
         found = found.union(front)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tabulon.operators import ordering as O
 from tabulon.operators import reconcile as R
 from tabulon.operators.criteria import grid_condition, rename, select, validate, where
 from tabulon.plans.registry import query, r4
+from tabulon.session import shared_dir
+from tabulon.sources.tables import read_table, write_table
 from tabulon.streaming.windows import windowed_summary
 
 ORDER_COLUMNS = "o_orderkey, o_orderstatus, o_totalprice"
@@ -348,6 +352,32 @@ def insert_rows(t):
     return C.insert_rows(two_books(t)[0], "book", 4, 2).filter("col = 1").select("sheet", "row", "value")
 
 
+@query(f"select 'book' as sheet, r as row, 3::bigint as col, v as value from {BOOK}")
+def insert_columns(t):
+    """Two columns more before the names: they move from column 1 to 3."""
+    return C.insert_columns(two_books(t)[0], "book", 1, 2).filter("col = 3").select("sheet", "row", F.col("col").cast("long").alias("col"), "value")
+
+
+@query(f"select r as row, 'name' as part, v as value from {BOOK} union all select r + 2, 'filled', v from {NEW} union all select r, 'kept', v from {BOOK} where r < 2")
+def fill_template(t):
+    """Names written two rows down into column 1 of a workbook: they replace those that stand there but for the first two."""
+    old, new = (b.filter("col = 1") for b in two_books(t))
+    filled = C.fill(old, new, "book", 2, 0)
+    beside = C.fill(old, new, "book", 0, 5).filter("col = 1")
+    part = F.when(F.col("row") < 2, "kept").otherwise("filled")
+    return filled.select("row", part.alias("part"), "value").union(beside.select("row", F.lit("name"), "value"))
+
+
+@query(f"select r as row, '{{\"cell\":\"B' || (r + 1) || '\",\"value\":\"' || v || '\"}}' as json from {BOOK}")
+def export_cells_json(t):
+    return C.cell_json(two_books(t)[0]).filter("col = 1").select("row", "json")
+
+
+@query("select p_partkey, (case when n >= 702 then chr((65 + ((n // 26 - 1) // 26 - 1) % 26)::int) else '' end) || (case when n >= 26 then chr((65 + (n // 26 - 1) % 26)::int) else '' end) || chr((65 + n % 26)::int) as letters from (select p_partkey, p_partkey % 18278 as n from part)")
+def column_letters(t):
+    return t.part.select("p_partkey", C.column_letters(F.col("p_partkey") % 18278).alias("letters"))
+
+
 @query(f"select 'name ' || r as label, c_custkey % 2 = 0 as passed from {BOOK}")
 def verify_report(t):
     rows = O.with_places(t.customer.select("c_custkey", "c_name"), "c_custkey")
@@ -397,6 +427,49 @@ def undo_counts(t):
     return C.undo_counts(journal(t))
 
 
+# Text tables: written to the shared folder and read back.
+
+AWKWARD = "p_name || case when p_partkey % 3 = 0 then ', \"' || p_brand || '\"' when p_partkey % 3 = 1 then ' ' || p_type else '' end"
+
+
+def awkward(t):
+    """Parts whose labels hold separators and quotes."""
+    more = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(', "'), "p_brand", F.lit('"'))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" "), "p_type")).otherwise("")
+    return t.part.select("p_partkey", F.concat("p_name", more).alias("label"), "p_size")
+
+
+def round_trip(kind: str, breaks: str = "") -> None:
+    label = f"{AWKWARD} || '{breaks}'" if breaks else AWKWARD
+
+    @query(f"select cast(p_partkey as varchar) as p_partkey, {label} as label, cast(p_size as varchar) as p_size from part", f"read_{kind}{'_breaks' if breaks else ''}")
+    def f(t):
+        path = f"{shared_dir(t.spark)}/table-{uuid.uuid4().hex}"
+        write_table(awkward(t).withColumn("label", F.concat("label", F.lit(breaks))), path, kind)
+        return read_table(t.spark, path, kind)
+
+
+round_trip("csv")
+round_trip("csv", "\nsecond line")
+round_trip("tsv")
+round_trip("json")
+
+
+@query(f"select {AWKWARD} as value from part")
+def read_lines(t):
+    path = f"{shared_dir(t.spark)}/table-{uuid.uuid4().hex}"
+    write_table(awkward(t).select("label"), path, "lines")
+    return read_table(t.spark, path, "lines")
+
+
+@query("select cast(p_partkey as varchar) as _c0, case when p_partkey % 2 = 0 then p_brand end as _c1, case when p_partkey % 6 = 0 then p_type end as _c2 from part")
+def read_ragged(t):
+    """Rows of one, two and three fields without a header."""
+    path = f"{shared_dir(t.spark)}/table-{uuid.uuid4().hex}"
+    two, three = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(";"), "p_brand")).otherwise(""), F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit(";"), "p_type")).otherwise("")
+    t.part.select(F.concat("p_partkey", two, three).alias("value")).write.text(path)
+    return read_table(t.spark, path, "csv", headers=False, delimiter="semicolon")
+
+
 # Functions whose outcome is a table.
 
 

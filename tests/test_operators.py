@@ -10,7 +10,7 @@ from tabulon.operators import cells as C
 from tabulon.operators import lookups as L
 from tabulon.operators import ordering as O
 from tabulon.operators import reconcile as R
-from tabulon.operators.criteria import criterion, grid_condition, where, wildcard
+from tabulon.operators.criteria import column_at, criterion, grid_condition, where, wildcard
 from tabulon.sources.tables import parsed_input, read_table, safe_export, strict_number, write_table
 from tabulon.sources.xlsx import address, letters, write_workbook
 
@@ -27,6 +27,69 @@ def test_text_tables(spark, tmp_path):
         read_table(spark, "a.parquet")
 
 
+def test_ragged_text_tables(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2,EXTRA\n\n3\na,b\n")
+    df = read_table(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["a", "b", "_c2"]
+    assert [tuple(r) for r in df.collect()] == [("1", "2", "EXTRA"), (None, None, None), ("3", None, None), ("a", "b", None)]
+    (tmp_path / "b.csv").write_text('a,b\n"1\n2",x,"y,z"\n')
+    df = read_table(spark, str(tmp_path / "b.csv"))
+    assert df.columns == ["a", "b", "_c2"] and [tuple(r) for r in df.collect()] == [("1\n2", "x", "y,z")]
+    (tmp_path / "c.csv").write_text('a,A,,"x, y"\n1,2,3,"4, ""5"""\n')
+    df = read_table(spark, str(tmp_path / "c.csv"))
+    assert df.columns == ["a0", "A1", "_c2", "x, y"] and [tuple(r) for r in df.collect()] == [("1", "2", "3", '4, "5"')]
+    (tmp_path / "d.csv").write_text("")
+    assert read_table(spark, str(tmp_path / "d.csv")).count() == 0
+    (tmp_path / "many").mkdir()
+    for name in "xy":
+        (tmp_path / "many" / name).write_text(f"a|b\n{name}|1\na|b\n")
+    df = read_table(spark, str(tmp_path / "many"), "csv", delimiter="pipe")
+    assert sorted(tuple(r) for r in df.collect()) == [("a", "b"), ("a", "b"), ("x", "1"), ("y", "1")]
+
+
+def test_json_tables(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"z": 1, "b": "x"}, {"b": null, "a": {"d": 2}}]')
+    df = read_table(spark, str(tmp_path / "a.json"))
+    assert df.columns == ["z", "b", "a"] and [tuple(r) for r in df.collect()] == [("1", "x", ""), ("", "", '{"d":2}')]
+    (tmp_path / "b.json").write_text('[["a", 1],\n ["b", null, true]]')
+    df = read_table(spark, str(tmp_path / "b.json"))
+    assert df.columns == ["_c0", "_c1", "_c2"] and [tuple(r) for r in df.collect()] == [("a", "1", ""), ("b", "", "true")]
+    write_table(df.withColumnRenamed("_c1", "A"), str(tmp_path / "out"), "json")
+    assert read_table(spark, str(tmp_path / "out"), "json").columns == ["_c0", "A", "_c2"]
+    for i, text in enumerate(("", "[1, 2]", '[{"a": 1', "words")):
+        (tmp_path / f"bad{i}.json").write_text(text)
+        with pytest.raises(Exception):
+            read_table(spark, str(tmp_path / f"bad{i}.json")).collect()
+
+
+def test_column_at(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, `2` int, amount int")
+    assert [column_at(df, w) for w in ("AMOUNT", "2", "1", "B", "c", "a")] == ["amount", "2", "a", "2", "amount", "a"]
+    for wanted in ("0", "4", "D", "", "total"):
+        with pytest.raises(ValueError):
+            column_at(df, wanted)
+
+
+def test_fill_and_export(spark):
+    schema = "sheet string, row long, col int, formula string, kind string, value string"
+    book = spark.createDataFrame([("S", 0, 0, None, "text", "old"), ("S", 5, 1, None, "number", "7"), ("S", 6, 1, "SUM(B1:B6)", "number", "7"), ("T", 0, 0, None, "text", "t")], schema)
+    table = spark.createDataFrame([("x", 0, 0, None, "text", 'a "b"'), ("x", 0, 1, "1+1", "number", "2"), ("x", 1, 1, None, "bool", "TRUE")], schema)
+    found = {(r.sheet, r.row, r.col): (r.formula, r.kind, r.value) for r in C.fill(book, table, "S", 0, 0).collect()}
+    assert found[("S", 0, 0)] == (None, "text", 'a "b"') and found[("S", 0, 1)] == (None, "text", "1+1") and len(found) == 6
+    cleared = {(r.sheet, r.row, r.col) for r in C.fill(book, table, "S", 0, 0, clear=True).collect()}
+    assert cleared == {("S", 0, 0), ("S", 0, 1), ("S", 1, 1), ("S", 6, 1), ("T", 0, 0)}
+    texts = {r.json for r in C.cell_json(book.union(table)).collect()}
+    assert '{"cell":"B7","formula":"=SUM(B1:B6)","value":7.0}' in texts and '{"cell":"A1","value":"a \\"b\\""}' in texts and '{"cell":"B2","value":true}' in texts
+    letters_of = spark.range(18278).select("id", C.column_letters("id").alias("name")).collect()
+    assert all(letters(r["id"]) == r["name"] for r in letters_of)
+
+
+def test_nested_rows_with_a_cycle(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "b"), (None, "a")], "p string, c string")
+    found = {(r.ancestor, r.node): r.level for r in O.descendants(edges, "p", "c").collect()}
+    assert len(found) == 9 and found[("a", "c")] == 2 and found[("a", "a")] == 3
+
+
 def test_workbook_round_trip(spark, tmp_path):
     rows = [("S", 0, 0, None, "text", "a & b"), ("S", 0, 1, None, "number", "2.5"), ("S", 2, 27, "=SUM(A1:B1)", "number", "2.5"), ("T", 0, 0, None, "bool", "TRUE"), ("T", 1, 0, None, "error", "#N/A")]
     cells = spark.createDataFrame(rows, "sheet string, row long, col int, formula string, kind string, value string")
