@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulon.functions.distributions import special
-from tabulon.functions.value import NA, NUM, VALUE, Val, as_number, as_text, errors, finite, function, lift, numeric
+from tabulon.functions.value import NA, NUM, VALUE, Val, as_number, as_text, at_once, bind, errors, finite, function, lift, number_text, numeric
 
 #: Name, radix, bits and digits of the bases.
 BASES = {"BIN": (2, 10), "OCT": (8, 30), "HEX": (16, 40)}
@@ -148,53 +149,88 @@ def _convert(x, a, b):
     return finite(F.when(good, v.col * F.try_element_at(size, s.col) / F.try_element_at(size, t.col)), errors(v, s, t, own=F.when(~good, NA)))
 
 
-# Complex numbers: text a+bi outside, a pair of columns inside.
+# Complex numbers: text a+bi outside, a struct (re, im, suffix, err) inside.
 
 UNSIGNED = r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 COMPLEX = rf"^\s*([+-]?{UNSIGNED}(?![\d.eE]*[ij]))?(?:([+-]?(?:{UNSIGNED})?)([ij]))?\s*$"
 
 
-class Complex:
-    def __init__(self, re: Column, im: Column, suffix: Column, err: Column | None = None):
-        self.re, self.im, self.suffix, self.err = re, im, suffix, err
+def parsed(x: Val) -> Column:
+    """The struct of a complex number: re, im, suffix, err."""
 
+    def split(v: Column) -> Column:
+        part = [F.regexp_extract(v["value"], COMPLEX, i).alias(f"p{i}") for i in (1, 2, 3)]
+        good = (v["value"].rlike(COMPLEX) & (F.trim(v["value"]) != "")).alias("good")
+        return bind(F.struct(*part, good, v["err"].alias("err")), made)
 
-def parsed(x: Val) -> Complex:
-    v = as_text(x)
-    part = [F.regexp_extract(v.col, COMPLEX, i) for i in (1, 2, 3)]
-    good = v.col.rlike(COMPLEX) & (F.trim(v.col) != "")
-    n = lambda c: F.when(c.isin("", "+", "-"), F.concat(c, F.lit("1"))).otherwise(c).try_cast("double")
-    return Complex(F.when(part[0] == "", 0.0).otherwise(part[0].try_cast("double")), F.when(part[2] == "", 0.0).otherwise(n(part[1])), F.when(part[2] == "", "i").otherwise(part[2]), errors(v, own=F.when(~good, NUM)))
+    def made(p: Column) -> Column:
+        n = F.when(p["p2"].isin("", "+", "-"), F.concat(p["p2"], F.lit("1"))).otherwise(p["p2"]).try_cast("double")
+        re, im = F.when(p["p1"] == "", 0.0).otherwise(p["p1"].try_cast("double")), F.when(p["p3"] == "", 0.0).otherwise(n)
+        err = F.coalesce(p["err"], F.when(~p["good"], NUM))
+        return F.struct(re.alias("re"), im.alias("im"), F.when(p["p3"] == "", "i").otherwise(p["p3"]).alias("suffix"), err.alias("err"))
 
+    return bind(as_text(x).both(), split)
 
-def written(re: Column, im: Column, suffix: Column, *inputs, own: Column | None = None) -> Val:
-    from tabulon.functions.value import number_text
 
-    a, b = number_text(re), number_text(F.abs(im))
-    imaginary = F.concat(F.when(b == "1", "").otherwise(b), suffix)
-    text = F.when(im == 0, a).when(re == 0, F.concat(F.when(im < 0, "-").otherwise(""), imaginary)).otherwise(F.concat(a, F.when(im < 0, "-").otherwise("+"), imaginary))
-    found = [z.err for z in inputs if z.err is not None] + ([own] if own is not None else [])
-    bad = F.isnan(re) | F.isnan(im) | (F.abs(re) == float("inf")) | (F.abs(im) == float("inf"))
-    return Val(text, "text", F.coalesce(*found, F.when(bad, NUM)))
+def written(re: Column, im: Column, suffix: Column, err: Column) -> Column:
+    """The struct (value, err) of a complex number's text."""
+
+    def made(z: Column) -> Column:
+        bad = F.isnan(z["re"]) | F.isnan(z["im"]) | (F.abs(z["re"]) == float("inf")) | (F.abs(z["im"]) == float("inf"))
+        return bind(F.struct(z["re"].alias("re"), z["im"].alias("im"), F.coalesce(err, F.when(bad, NUM)).alias("err")), shown)
+
+    def shown(z: Column) -> Column:
+        imaginary = bind(number_text(F.abs(z["im"])), lambda b: F.concat(F.when(b == "1", "").otherwise(b), suffix))
+        minus, a = F.when(z["im"] < 0, "-"), number_text(z["re"])
+        text = F.when(z["im"] == 0, a).when(z["re"] == 0, F.concat(minus.otherwise(""), imaginary)).otherwise(F.concat(a, minus.otherwise("+"), imaginary))
+        return F.struct(F.when(z["err"].isNull(), text).alias("value"), z["err"].alias("err"))
+
+    return bind(F.struct(re.alias("re"), im.alias("im")), made)
+
+
+def computed(f, *texts: Val, numbers: tuple = (), own=None) -> Val:
+    """f of complex numbers (structs) and numbers (Columns) gives (re, im); each text is parsed once, and the value and its
+    error are one struct. ``own`` gives the function's own error, the suffix is the first number's."""
+    row = F.struct(*(parsed(x).alias(f"z{i}") for i, x in enumerate(texts)), *(x.both().alias(f"n{i}") for i, x in enumerate(numbers)))
+
+    def made(r: Column) -> Column:
+        zs, ns = [r[f"z{i}"] for i in range(len(texts))], [r[f"n{i}"] for i in range(len(numbers))]
+        err = F.coalesce(*(x["err"] for x in zs + ns), F.lit(None).cast("string") if own is None else own(*zs, *(n["value"] for n in ns)))
+        return written(*f(*zs, *(n["value"] for n in ns)), zs[0]["suffix"], err)
+
+    return at_once(bind(row, made), "text")
 
 
 @function("COMPLEX", least=2, most=3)
 def _complex(a, b, suffix=None):
     x, y, s = as_number(a), as_number(b), as_text(lift("i" if suffix is None else suffix))
-    return written(x.col, y.col, s.col, x, y, s, own=F.when(~s.col.isin("i", "j"), VALUE))
+    row = F.struct(x.both().alias("x"), y.both().alias("y"), s.both().alias("s"))
+
+    def made(r: Column) -> Column:
+        err = F.coalesce(r["x"]["err"], r["y"]["err"], r["s"]["err"], F.when(~r["s"]["value"].isin("i", "j"), VALUE))
+        return written(r["x"]["value"], r["y"]["value"], r["s"]["value"], err)
+
+    return at_once(bind(row, made), "text")
 
 
 def part_of(name: str, f) -> None:
     @function(name, least=1, most=1)
     def apply(x):
-        z = parsed(x)
-        return finite(f(z), z.err)
+        def made(z: Column) -> Column:
+            return bind(F.struct(f(z).alias("v"), z["err"].alias("err")), checked)
+
+        def checked(r: Column) -> Column:
+            v = r["v"]
+            err = F.coalesce(r["err"], F.when(F.isnan(v) | (F.abs(v) == float("inf")), NUM))
+            return F.struct(F.when(err.isNull(), v).alias("value"), err.alias("err"))
 
+        return at_once(bind(parsed(x), made), "number")
 
-part_of("IMREAL", lambda z: z.re)
-part_of("IMAGINARY", lambda z: z.im)
-part_of("IMABS", lambda z: F.hypot(z.re, z.im))
-part_of("IMARGUMENT", lambda z: F.atan2(z.im, z.re))
+
+part_of("IMREAL", lambda z: z["re"])
+part_of("IMAGINARY", lambda z: z["im"])
+part_of("IMABS", lambda z: F.hypot(z["re"], z["im"]))
+part_of("IMARGUMENT", lambda z: F.atan2(z["im"], z["re"]))
 
 
 def divided(a, b):
@@ -220,12 +256,13 @@ def log_(a, b, base=1.0):
     return F.ln(F.when(size > 0, size)) / base, F.atan2(b, a) / base
 
 
+is_zero = lambda z: (z["re"] == 0) & (z["im"] == 0)
+
+
 def unary(name: str, f, zero: bool = False) -> None:
     @function(name, least=1, most=1)
     def apply(x):
-        z = parsed(x)
-        re, im = f(z.re, z.im)
-        return written(re, im, z.suffix, z, own=F.when((z.re == 0) & (z.im == 0), NUM) if zero else None)
+        return computed(lambda z: f(z["re"], z["im"]), x, own=(lambda z: F.when(is_zero(z), NUM)) if zero else None)
 
 
 one = lambda: (F.lit(1.0), F.lit(0.0))
@@ -249,34 +286,31 @@ unary("IMCSCH", lambda a, b: divided(one(), sinh_(a, b)), True)
 
 @function("IMSUB", least=2, most=2)
 def _imsub(x, y):
-    a, b = parsed(x), parsed(y)
-    return written(a.re - b.re, a.im - b.im, a.suffix, a, b)
+    return computed(lambda a, b: (a["re"] - b["re"], a["im"] - b["im"]), x, y)
 
 
 @function("IMDIV", least=2, most=2)
 def _imdiv(x, y):
-    a, b = parsed(x), parsed(y)
-    re, im = divided((a.re, a.im), (b.re, b.im))
-    return written(re, im, a.suffix, a, b, own=F.when((b.re == 0) & (b.im == 0), NUM))
+    return computed(lambda a, b: divided((a["re"], a["im"]), (b["re"], b["im"])), x, y, own=lambda a, b: F.when(is_zero(b), NUM))
 
 
 @function("IMPOWER", least=2, most=2)
 def _impower(x, n):
-    a, k = parsed(x), as_number(n)
-    re, im = powered(a.re, a.im, k.col)
-    return written(re, im, a.suffix, a, k)
+    return computed(lambda a, k: powered(a["re"], a["im"], k), x, numbers=(as_number(n),))
 
 
 @function("IMSUM", least=1)
 def _imsum(*args):
-    zs = [parsed(a) for a in args]
-    return written(sum((z.re for z in zs[1:]), zs[0].re), sum((z.im for z in zs[1:]), zs[0].im), zs[0].suffix, *zs)
+    return computed(lambda *zs: tuple(reduce(lambda x, y: x + y, (z[part] for z in zs)) for part in ("re", "im")), *args)
 
 
 @function("IMPRODUCT", least=1)
 def _improduct(*args):
-    zs = [parsed(a) for a in args]
-    re, im = zs[0].re, zs[0].im
-    for z in zs[1:]:
-        re, im = re * z.re - im * z.im, re * z.im + im * z.re
-    return written(re, im, zs[0].suffix, *zs)
+    def product(*zs: Column) -> tuple[Column, Column]:
+        times = lambda p, z: F.struct((p["re"] * z["re"] - p["im"] * z["im"]).alias("re"), (p["re"] * z["im"] + p["im"] * z["re"]).alias("im"))
+        pairs = F.array(*(F.struct(z["re"].alias("re"), z["im"].alias("im")) for z in zs[1:]))
+        first = F.struct(zs[0]["re"].alias("re"), zs[0]["im"].alias("im"))
+        whole = F.aggregate(pairs, first, times) if zs[1:] else first
+        return whole["re"], whole["im"]
+
+    return computed(product, *args)

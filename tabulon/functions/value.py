@@ -26,10 +26,18 @@ class Val:
     col: Column
     kind: str = "number"
     err: Column | None = None
+    #: The struct (value, err) that both come from, where they are evaluated at once; its value is null beside an error.
+    whole: Column | None = None
+
+    def both(self) -> Column:
+        """The value and its error as one struct."""
+        if self.whole is not None:
+            return self.whole
+        return F.struct(self.col.alias("value"), (F.lit(None).cast("string") if self.err is None else self.err).alias("err"))
 
     def named(self, name: str) -> Column:
         """The value where there is no error, as a column."""
-        return (self.col if self.err is None else F.when(self.err.isNull(), self.col)).alias(name)
+        return (self.col if self.whole is not None or self.err is None else F.when(self.err.isNull(), self.col)).alias(name)
 
     def error(self, name: str) -> Column:
         return (F.lit(None).cast("string") if self.err is None else self.err).alias(name)
@@ -110,6 +118,11 @@ def boolean(col: Column | str) -> Val:
     return Val((F.col(col) if isinstance(col, str) else col).cast("boolean"), "bool")
 
 
+def at_once(whole: Column, kind: str) -> Val:
+    """A value and its error from the struct (value, err), whose value is null beside an error."""
+    return Val(whole["value"], kind, whole["err"], whole)
+
+
 def failed(code: str) -> Val:
     return Val(F.lit(None).cast("double"), "number", F.lit(code))
 
@@ -136,7 +149,7 @@ def errors(*vals: Val, own: Column | None = None) -> Column | None:
 def as_number(v: Val) -> Val:
     """Blank is 0, a bool 0 or 1; text counts only if all of it is a number, or one and a percent sign."""
     if v.kind == "number":
-        return Val(F.coalesce(v.col, F.lit(0.0)), "number", v.err)
+        return filled(v, lambda c: F.coalesce(c, F.lit(0.0)))
     if v.kind == "bool":
         return Val(F.coalesce(v.col.cast("double"), F.lit(0.0)), "number", v.err)
     plain = F.regexp_replace(v.col, r"%\s*$", "")
@@ -159,10 +172,9 @@ def _number_text(x: Column) -> Column:
     size = F.abs(x)
     digits = (F.lit(14) - F.floor(F.log10(F.when(size > 0, size).otherwise(1.0)))).cast("int")
     whole = (x == F.floor(x)) & (size < 1e15)
-    scale = F.greatest(F.lit(0), F.least(digits, F.lit(18)))
     fixed = F.round(F.when((size >= 1e-10) & (size < 1e15), x).cast("decimal(38,18)"), 18).cast("string")
-    cut = F.substring(fixed, F.lit(1), F.instr(fixed, ".") + scale)
-    rounded = F.when(scale < 18, _round_text(x, scale)).otherwise(cut)
+    cut = lambda scale: bind(fixed, lambda d: F.substring(d, F.lit(1), F.instr(d, ".") + scale))
+    rounded = bind(F.greatest(F.lit(0), F.least(digits, F.lit(18))), lambda scale: F.when(scale < 18, _round_text(x, scale)).otherwise(cut(scale)))
     trimmed = F.regexp_replace(F.regexp_replace(rounded, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     sci = F.regexp_replace(x.cast("string"), r"\.0E|E", "E")
     sci = F.regexp_replace(F.regexp_replace(sci, r"E(\d)", "E+$1"), r"E([+-])(\d)$", "E$10$2")
@@ -172,14 +184,24 @@ def _number_text(x: Column) -> Column:
 def _round_text(x: Column, scale: Column) -> Column:
     """A number of 15 significant digits with as many decimal places as its row has."""
     units = F.round(F.abs(x) * F.pow(F.lit(10.0), scale.cast("double"))).cast("long").cast("string")
-    digits = F.lpad(units, F.greatest(scale + 1, F.length(units)), F.lit("0"))
-    cut = F.length(digits) - scale
-    return F.concat(F.when(x < 0, "-").otherwise(""), digits.substr(F.lit(1), cut), F.lit("."), digits.substr(cut + 1, scale))
+
+    def pointed(digits: Column) -> Column:
+        cut = F.length(digits) - scale
+        return F.concat(F.when(x < 0, "-").otherwise(""), digits.substr(F.lit(1), cut), F.lit("."), digits.substr(cut + 1, scale))
+
+    return bind(bind(units, lambda u: F.lpad(u, F.greatest(scale + 1, F.length(u)), F.lit("0"))), pointed)
+
+
+def filled(v: Val, f: Callable[[Column], Column]) -> Val:
+    """f of the value, of the same kind."""
+    if v.whole is None:
+        return Val(f(v.col), v.kind, v.err)
+    return at_once(bind(v.whole, lambda w: F.struct(F.when(w["err"].isNull(), f(w["value"])).alias("value"), w["err"].alias("err"))), v.kind)
 
 
 def as_text(v: Val) -> Val:
     if v.kind == "text":
-        return Val(F.coalesce(v.col, F.lit("")), "text", v.err)
+        return filled(v, lambda c: F.coalesce(c, F.lit("")))
     if v.kind == "bool":
         return Val(F.coalesce(F.upper(v.col.cast("string")), F.lit("")), "text", v.err)
     return Val(F.coalesce(number_text(v.col), F.lit("")), "text", v.err)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tabulon.functions import call as made_call
 from tabulon.functions import number, string
 from tabulon.plans.registry import query, r4
-from tabulon.session import stage
+from tabulon.session import spread, stage
 
 
 class Later:
@@ -55,17 +55,25 @@ def call(name: str, *args) -> Call:
     return Call(name, args)
 
 
+def same(x):
+    """What equal calls have in common: names and arguments; other values are the same only as one object."""
+    return (x.name, *map(same, x.args)) if isinstance(x, Call) else (type(x).__name__, id(x) if isinstance(x, Later) else x)
+
+
 def stepwise(df, values: list):
-    """The table with the functions inside other functions as columns of their own, and the values over those."""
-    steps, found = {}, []
+    """The table with the functions inside other functions as columns of their own, and the values over those. Equal ones
+    are one column."""
+    steps, found, known = {}, [], {}
     for v in values:
         if isinstance(v, Call):
             args = []
             for a in v.args:
                 if isinstance(a, Call):
-                    made, name = now(a), f"step{len(steps)}"
-                    steps[name] = made.named(name)
-                    a = (number if made.kind == "number" else string)(name)
+                    if same(a) not in known:
+                        made, name = now(a), f"step{len(steps)}"
+                        steps[name] = made.named(name)
+                        known[same(a)] = (number if made.kind == "number" else string)(name)
+                    a = known[same(a)]
                 args.append(a)
             v = call(v.name, *args)
         found.append(v)
@@ -89,7 +97,7 @@ def columns(name: str, rows: list[tuple], table: str = "part", key: str = "p_par
 
     @query(f"select {key}, {shown} from {table}", name)
     def f(t):
-        df = getattr(t, table)
+        df = spread(getattr(t, table))
         df, values = stepwise(made(df) if made else df, [v for _, v, _ in rows])
         return df.select(key, *(now(v).named(plain(n)) if exact(n) else r4(now(v).named("v"), plain(n), digits) for (n, _, _), v in zip(rows, values)))
 

@@ -49,6 +49,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to all cores: a small or compact file is read by fewer tasks than long formulas need."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete staged tables that no later step reads."""
     for df in staged:
