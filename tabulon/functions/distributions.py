@@ -13,7 +13,26 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.value import NUM, Val, as_bool, as_number, errors, finite, function, lift
 
-_erfc, _lgamma = np.vectorize(math.erfc, otypes=[float]), np.vectorize(lambda x: math.lgamma(x) if x > 0 else math.nan, otypes=[float])
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.erfc, otypes=[float])(x)
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(lambda v: math.lgamma(v) if v > 0 else math.nan, otypes=[float])(x)
+
+
+def once_each(f: Callable[..., np.ndarray], xs: list[np.ndarray]) -> np.ndarray:
+    """f of rows, called with each different row once."""
+    varied = [x.view(np.int64) for x in map(np.ascontiguousarray, xs) if len(x) and np.any(x.view(np.int64) != x.view(np.int64)[0])]
+    if not len(xs[0]):
+        return np.asarray(f(*xs), float)
+    rows = np.zeros(len(xs[0]), np.int64)  # the number of a row among the different ones
+    for x in varied:
+        values, number = np.unique(x, return_inverse=True)
+        rows = np.unique(rows * len(values) + number, return_inverse=True)[1]
+    _, first, back = np.unique(rows, return_index=True, return_inverse=True)
+    return np.asarray(f(*(x[first] for x in xs)), float)[back]
 
 
 def vectorized(f: Callable[..., np.ndarray]) -> Callable[..., Column]:
@@ -24,7 +43,7 @@ def vectorized(f: Callable[..., np.ndarray]) -> Callable[..., Column]:
         def run(*parts: pd.Series) -> pd.Series:
             xs = [p.to_numpy(float, na_value=np.nan) for p in parts]
             with np.errstate(all="ignore"):
-                return pd.Series(f(*xs))
+                return pd.Series(once_each(f, xs))
 
         out = run(*(c.cast("double") for c in cols))
         return F.when(F.isnan(out), F.lit(None)).otherwise(out)
@@ -38,37 +57,58 @@ def special(f: Callable[[float], float]) -> Callable[[Column], Column]:
     return vectorized(many)
 
 
+def settled(now: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Whether a series or fraction no longer changes but for its last bits; what is not a number never will."""
+    return ~(np.abs(change) > np.abs(now) * 4e-16)
+
+
 def gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The regularized lower incomplete gamma function."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     out = np.full(a.shape, np.nan)
     fine = (a > 0) & (x >= 0)
-    a_, x_ = np.where(fine, a, 1.0), np.where(fine, x, 1.0)
-    front = np.exp(np.where(x_ > 0, a_ * np.log(np.maximum(x_, 1e-300)) - x_ - _lgamma(a_), -np.inf))
-    term = total = 1 / a_
-    n = a_.copy()
-    low = np.where(x_ < a_ + 1, x_, 0.0)
+    low, high = fine & (x < a + 1), fine & (x >= a + 1)
+    front = lambda a, x: np.exp(np.where(x > 0, a * np.log(np.maximum(x, 1e-300)) - x - _lgamma(a), -np.inf))
+    out[low] = np.clip(gamma_series(a[low], x[low]) * front(a[low], x[low]), 0, 1)
+    out[high] = np.clip(1 - front(a[high], x[high]) * gamma_fraction(a[high], x[high]), 0, 1)
+    return out
+
+
+def gamma_series(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    done, at = np.empty(len(a)), np.arange(len(a))
+    term, total, n = 1 / a, 1 / a, a
     for _ in range(1000):
+        if not len(at):
+            break
         n = n + 1
-        term = term * low / n
+        term = term * x / n
         total = total + term
-        if np.all(np.abs(term) <= np.abs(total) * 1e-16):
-            break
-    high = np.where(x_ >= a_ + 1, x_, a_ + 2)
-    b = high + 1 - a_
+        done[at] = total
+        go = ~settled(total, term)
+        if not go.all():
+            at, term, total, n, x = at[go], term[go], total[go], n[go], x[go]
+    return done
+
+
+def gamma_fraction(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    done, at = np.empty(len(a)), np.arange(len(a))
+    b = x + 1 - a
     c, d = np.full(a.shape, 1e300), 1 / b
-    h = d.copy()
+    h = d
+    done[:] = h
     for i in range(1, 1000):
-        an = -i * (i - a_)
+        if not len(at):
+            break
+        an = -i * (i - a)
         b = b + 2
         d = 1 / np.where(np.abs(an * d + b) < 1e-300, 1e-300, an * d + b)
         c = np.where(np.abs(b + an / c) < 1e-300, 1e-300, b + an / c)
         h, was = h * d * c, h
-        if np.all(np.abs(h - was) <= np.abs(h) * 1e-16):
-            break
-    value = np.where(x_ < a_ + 1, total * front, 1 - front * h)
-    out[fine] = np.clip(value, 0, 1)[fine]
-    return out
+        done[at] = h
+        go = ~settled(h, h - was)
+        if not go.all():
+            at, a, b, c, d, h = at[go], a[go], b[go], c[go], d[go], h[go]
+    return done
 
 
 def beta_i(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,11 +121,19 @@ def beta_i(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     inner = (y > 0) & (y < 1)
     z = np.where(inner, y, 0.5)
     front = np.exp(p * np.log(z) + q * np.log1p(-z) + _lgamma(p + q) - _lgamma(p) - _lgamma(q)) / p
-    tiny = 1e-300
+    h = beta_fraction(z.ravel(), p.ravel(), q.ravel()).reshape(z.shape)
+    value = np.where(inner, front * h, np.where(y <= 0, 0.0, 1.0))
+    return np.where(fine, np.clip(np.where(flip, 1 - value, value), 0, 1), np.nan)
+
+
+def beta_fraction(z: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    done, at, tiny = np.empty(len(z)), np.arange(len(z)), 1e-300
     c, d = np.ones_like(z), 1 - (p + q) * z / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
+    h = d
     for m in range(1, 500):
+        if not len(at):
+            break
         was = h
         for n in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
             d = 1 + n * d
@@ -93,16 +141,28 @@ def beta_i(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             c = 1 + n / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if np.all(np.abs(h - was) <= np.abs(h) * 1e-16):
-            break
-    value = np.where(inner, front * h, np.where(y <= 0, 0.0, 1.0))
-    return np.where(fine, np.clip(np.where(flip, 1 - value, value), 0, 1), np.nan)
+        done[at] = h
+        go = ~settled(h, h - was)
+        if not go.all():
+            at, z, p, q, c, d, h = at[go], z[go], p[go], q[go], c[go], d[go], h[go]
+    return done
 
 
 def normal(z: np.ndarray) -> np.ndarray:
     return 0.5 * _erfc(-np.asarray(z, float) / math.sqrt(2))
 
 
+def halved(below: Callable, low: np.ndarray, high: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Ends that close in on where ``below`` (of middles) turns false, until no number lies between them."""
+    for _ in range(steps):
+        mid = (low + high) / 2
+        if np.all(~((low < mid) & (mid < high))):
+            break
+        under = below(mid)
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return low, high
+
+
 def bisected(cdf: Callable, low: np.ndarray, high: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Where a rising cdf reaches p; an upper end that is too low is doubled."""
     low, high = low.astype(float).copy(), high.astype(float).copy()
@@ -111,10 +171,7 @@ def bisected(cdf: Callable, low: np.ndarray, high: np.ndarray, p: np.ndarray) ->
         if not np.any(short):
             break
         high = np.where(short, high * 2, high)
-    for _ in range(200):
-        mid = (low + high) / 2
-        under = cdf(mid) < p
-        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    low, high = halved(lambda mid: cdf(mid) < p, low, high)
     return (low + high) / 2
 
 
@@ -148,10 +205,35 @@ def binomial_cdf(k, n, p):
     return np.where(k >= n, 1.0, np.where(k < 0, 0.0, beta_i(1 - p, np.maximum(n - k, 1e-9), k + 1)))
 
 
+def binomial_inverse(n, p, a):
+    """The least k whose cumulated probability reaches a, by halving the range of k."""
+    fine = (n >= 0) & (p >= 0) & (p <= 1) & (a == a)
+    n, p, a = np.where(fine, np.floor(n), 0.0), np.where(fine, p, 0.5), np.where(fine, a, 0.5)
+    low, high = np.full(len(n), -1.0), n.copy()  # short below, reached at n
+    while np.any(high - low > 1):
+        mid = np.floor((low + high) / 2)
+        short = (binomial_cdf(mid, n, p) < a) & (mid > low)
+        low, high = np.where(short, mid, low), np.where(short | (mid <= low), high, mid)
+    return np.where(fine & (a <= 1), high, np.nan)
+
+
+#: Terms of sums that are held at once.
+TERMS = 1_000_000
+
+
 def summed(pmf: Callable, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(low))
-    for i in range(len(low)):
-        out[i] = np.sum(pmf(np.arange(low[i], high[i] + 1), i)) if high[i] - low[i] < 10_000_000 else np.nan
+    """Sums of pmf(place, row) from low to high; as many rows at once as ``TERMS`` terms hold."""
+    out = np.full(len(low), np.nan)
+    count = high - low + 1
+    rows = np.flatnonzero(count < 10_000_001)
+    out[rows] = 0.0
+    rows = rows[count[rows] > 0]
+    part = np.cumsum(count[rows]) // TERMS
+    for one in np.split(rows, np.flatnonzero(np.diff(part)) + 1) if len(rows) else []:
+        n = np.ceil(count[one]).astype(int)
+        start = np.cumsum(n) - n
+        row = np.repeat(one, n)
+        out[one] = np.add.reduceat(pmf(low[row] + np.arange(len(row)) - np.repeat(start, n), row), start)
     return out
 
 
@@ -189,7 +271,7 @@ made("LOGNORM.INV LOGINV", lambda p, m, s: np.exp(m + s * normal_inverse(p)), la
 bad_binomial = lambda k, n, p, *_: (k < 0) | (k > n) | (p < 0) | (p > 1)
 made("BINOM.DIST BINOMDIST", lambda k, n, p, c: either(c, binomial_cdf(k, n, p), binomial(k, n, p)), bad_binomial, 4, flag=3, whole=(0, 1))
 made("BINOM.DIST.RANGE", lambda n, p, a, b: binomial_cdf(np.where(b != b, a, b), n, p) - binomial_cdf(a - 1, n, p), lambda n, p, a, b: (p < 0) | (p > 1) | (a < 0) | (a > n), 3, 4, whole=(0, 2, 3), fill=(float("nan"),))
-made("BINOM.INV CRITBINOM", lambda n, p, a: np.array([next((k for k in range(int(n[i]) + 1) if binomial_cdf(np.array([k * 1.0]), n[i : i + 1], p[i : i + 1])[0] >= a[i]), math.nan) if n[i] == n[i] else math.nan for i in range(len(n))], float), lambda n, p, a: (n < 0) | (p < 0) | (p > 1) | (a <= 0) | (a >= 1), 3, whole=(0,))
+made("BINOM.INV CRITBINOM", binomial_inverse, lambda n, p, a: (n < 0) | (p < 0) | (p > 1) | (a <= 0) | (a >= 1), 3, whole=(0,))
 negative = lambda f, r, p: np.exp(log_choose(f + r - 1, f) + r * np.log(p) + f * np.log1p(-p))
 made("NEGBINOM.DIST", lambda f, r, p, c: either(c, beta_i(p, r, f + 1), negative(f, r, p)), lambda f, r, p, c: (f < 0) | (r < 1) | (p <= 0) | (p >= 1), 4, flag=3, whole=(0, 1))
 made("NEGBINOMDIST", negative, lambda f, r, p: (f < 0) | (r < 1) | (p <= 0) | (p >= 1), 3, whole=(0, 1))
