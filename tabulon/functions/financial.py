@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulon.functions.dates import valid, year_fraction
-from tabulon.functions.distributions import vectorized
-from tabulon.functions.value import DIV0, NUM, as_number, errors, finite, function, lift
+from tabulon.functions.distributions import halved, vectorized
+from tabulon.functions.value import DIV0, NUM, as_number, bind, errors, finite, function, lift
 
 
 def money(names: str, f, bad=None, least: int = 3, most: int | None = None, fill: tuple = (), code: str = NUM) -> None:
@@ -43,7 +45,10 @@ def pmt(r, n, pv, fv_, due):
 
 
 def ipmt(r, per, n, pv, fv_, due):
-    paid = pmt(r, n, pv, fv_, due)
+    return interest_of(r, per, pmt(r, n, pv, fv_, due), pv, due)
+
+
+def interest_of(r, per, paid, pv, due):
     interest = fv(r, per - 1, paid, pv, due) * r
     return F.when((due != 0) & (per == 1), 0.0).when(due != 0, (fv(r, per - 2, paid, pv, due) - paid) * r).otherwise(interest)
 
@@ -66,16 +71,21 @@ money("ISPMT", lambda r, per, n, pv: pv * r * (per / nonzero(n) - 1), lambda r,
 
 
 def cumulated(f):
+    """The sum of f(interest, payment) over periods; the payment is made out once."""
+
     def total(r, n, pv, start, end, due):
         steps = F.sequence(F.ceil(start).cast("int"), F.greatest(F.floor(end), F.ceil(start)).cast("int"))
-        return F.aggregate(steps, F.lit(0.0), lambda a, k: a + f(r, k.cast("double"), n, pv, F.lit(0.0), due))
+        row = F.struct(r.alias("r"), pv.alias("pv"), due.alias("due"), steps.alias("steps"), n.alias("n"))
+        paid = lambda w: bind(pmt(w["r"], w["n"], w["pv"], F.lit(0.0), w["due"]), lambda p: added(w, p))
+        added = lambda w, p: F.aggregate(w["steps"], F.lit(0.0), lambda a, k: a + f(interest_of(w["r"], k.cast("double"), p, w["pv"], w["due"]), p))
+        return bind(row, paid)
 
     return total
 
 
 bad_cumulated = lambda r, n, pv, s, e, d: (r <= 0) | (n <= 0) | (pv <= 0) | (s < 1) | (e < s) | (e > n) | ~d.isin(0.0, 1.0)
-money("CUMIPMT", cumulated(ipmt), bad_cumulated, 6)
-money("CUMPRINC", cumulated(lambda r, k, n, pv, f, d: pmt(r, n, pv, f, d) - ipmt(r, k, n, pv, f, d)), bad_cumulated, 6)
+money("CUMIPMT", cumulated(lambda interest, paid: interest), bad_cumulated, 6)
+money("CUMPRINC", cumulated(lambda interest, paid: paid - interest), bad_cumulated, 6)
 money("SLN", lambda c, s, n: (c - s) / nonzero(n), lambda c, s, n: n == 0, 3, code=DIV0)
 money("SYD", lambda c, s, n, k: (c - s) * (n - k + 1) * 2 / nonzero(n * (n + 1)), lambda c, s, n, k: (n <= 0) | (k < 1) | (k > n), 4)
 money("EFFECT", lambda r, n: F.pow(1 + r / F.floor(n), F.floor(n)) - 1, lambda r, n: (r <= 0) | (n < 1), 2)
@@ -122,10 +132,7 @@ def root(f, low: np.ndarray, high: np.ndarray, steps: int = 200) -> np.ndarray:
             break
         high = np.where(same, high * 2, high)
     good = np.sign(f(high)) != np.sign(at_low)
-    for _ in range(steps):
-        mid = (low + high) / 2
-        left = np.sign(f(mid)) == np.sign(at_low)
-        low, high = np.where(left, mid, low), np.where(left, high, mid)
+    low, high = halved(lambda mid: np.sign(f(mid)) == np.sign(at_low), low, high, steps)
     return np.where(good, (low + high) / 2, np.nan)
 
 
@@ -161,21 +168,19 @@ money("DB", vectorized(db), lambda c, s, n, k, m: (c < 0) | (s < 0) | (n <= 0) |
 
 
 def vdb(cost, salvage, life, start, end, factor, straight):
-    out = np.zeros(len(cost))
-    for i in range(len(cost)):
-        if cost[i] != cost[i]:
-            out[i] = np.nan
-            continue
-        book, total = cost[i], 0.0
-        for k in range(int(np.ceil(end[i]))):
-            declining = min(book * factor[i] / life[i], max(book - salvage[i], 0))
-            rest = life[i] - k
-            line = max(book - salvage[i], 0) / rest if rest > 0 else 0
-            used = declining if straight[i] or declining >= line else line
-            total += used * max(0.0, min(end[i], k + 1) - max(start[i], k))
-            book -= used
-        out[i] = total
-    return out
+    fine = ~np.isnan([cost, salvage, life, start, end, factor, straight]).any(axis=0)
+    last = np.where(fine, np.minimum(np.ceil(end), np.ceil(life)), 0)
+    book, out, at = cost.astype(float).copy(), np.where(fine, 0.0, np.nan), np.arange(len(cost))
+    for k in itertools.count():
+        at = at[last[at] > k]
+        if not len(at):
+            return out
+        left, rest = np.maximum(book[at] - salvage[at], 0), life[at] - k
+        declining = np.minimum(book[at] * factor[at] / life[at], left)
+        line = np.where(rest > 0, left / np.where(rest > 0, rest, 1), 0)
+        used = np.where((straight[at] != 0) | (declining >= line), declining, line)
+        out[at] += used * np.maximum(0.0, np.minimum(end[at], k + 1) - np.maximum(start[at], k))
+        book[at] -= used
 
 
 money("VDB", vectorized(vdb), lambda c, s, n, a, b, f, x: (c < 0) | (s < 0) | (n <= 0) | (a < 0) | (b < a) | (b > n) | (f <= 0), 5, 7, (2.0, 0.0))
