@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,16 +70,43 @@ def z_test(df: DataFrame, x: str, mean: float, sigma: float | None = None, by: l
 def irr(flows: DataFrame, by: str, order: list[str], value: str, days: str | None = None) -> DataFrame:
     """IRR (or, with ``days``, XIRR from the first row's day) of each group's flows; null without a change of sign. A group
     is one investment: its flows fit one task."""
-    kind = flows.schema[by].dataType
-    schema = T.StructType([T.StructField(by, kind), T.StructField("rate", T.DoubleType())])
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(order)
-        v = rows[value].to_numpy(float)
-        at = np.arange(len(v), dtype=float) if days is None else (rows[days].to_numpy(float) - float(rows[days].iloc[0])) / 365
-        found = np.nan
-        if len(v) > 1 and v.min() < 0 < v.max():
-            found = root(lambda r: np.array([np.sum(v / (1 + r[0]) ** at)]), np.array([-0.999999]), np.array([10.0]))[0]
-        return pd.DataFrame({by: group[by].iloc[:1], "rate": [None if np.isnan(found) else found]})
-
-    return flows.groupBy(by).applyInPandas(solve, schema)
+    schema = T.StructType([T.StructField(by, flows.schema[by].dataType), T.StructField("rate", T.DoubleType())])
+    first = [c for o in order for c in (F.col(o).isNull().alias(f"_no_{o}"), F.col(o).alias(f"_{o}"))]  # nulls come last
+    read = F.struct(F.col(value).cast("double").alias("v"), F.lit(None).cast("double").alias("d") if days is None else F.col(days).cast("double").alias("d"))
+    rows = F.sort_array(F.collect_list(F.struct(*first, read.alias("flow"))))
+    groups = flows.groupBy(by).agg(F.transform(rows, lambda x: x["flow"]).alias("flows"))
+    parts = groups.select(by, F.transform("flows", lambda x: x["v"]).alias("v"), *([] if days is None else [F.transform("flows", lambda x: x["d"]).alias("d")]))
+
+    def solve(batches):
+        for batch in batches:
+            lists = {c: batch.column(c) for c in batch.schema.names if c in ("v", "d")}
+            sizes = np.diff(lists["v"].offsets.to_numpy())
+            flat = {c: x.flatten().to_numpy(zero_copy_only=False).astype(float) for c, x in lists.items()}
+            rates = rates_of(flat["v"], sizes, flat.get("d"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rates, pa.float64(), mask=np.isnan(rates))], names=[by, "rate"])
+
+    return parts.mapInArrow(solve, schema)
+
+
+#: Flows whose groups are solved at once.
+FLOWS = 200_000
+
+
+def rates_of(v: np.ndarray, sizes: np.ndarray, days: np.ndarray | None = None) -> np.ndarray:
+    """The rate of each group of flows; the groups of ``sizes`` flows stand one behind the other, and none is empty."""
+    out = np.full(len(sizes), np.nan)
+    start = np.cumsum(sizes) - sizes
+    if not len(sizes):
+        return out
+    at = np.arange(len(v)) - np.repeat(start, sizes) if days is None else (days - np.repeat(days[start], sizes)) / 365
+    chosen = np.flatnonzero((sizes > 1) & (np.minimum.reduceat(v, start) < 0) & (np.maximum.reduceat(v, start) > 0))
+    part = np.cumsum(sizes[chosen]) // FLOWS
+    for some in np.split(chosen, np.flatnonzero(np.diff(part)) + 1) if len(chosen) else []:
+        n = sizes[some]
+        begin = np.cumsum(n) - n
+        rows = np.repeat(start[some] - begin, n) + np.arange(n.sum())
+        flow, place = v[rows], at[rows].astype(float)
+        value = lambda r: np.add.reduceat(flow / np.repeat(1 + r, n) ** place, begin)  # noqa: B023, E731
+        with np.errstate(all="ignore"):
+            out[some] = root(value, np.full(len(some), -0.999999), np.full(len(some), 10.0))
+    return out
