@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.value import bind
 from tabulon.operators.criteria import lenient_number
 from tabulon.session import discard, stage
 
 #: Characters of a key that meet texts in an equi-join at most.
 LONGEST = 64
+#: Shapes of keys that are compared with those of texts at most; of more all substrings of the keys' lengths meet.
+SHAPES = 1000
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def transformed(key: Column, how: str = "none") -> Column:
@@ -103,22 +107,51 @@ def column_diffs(reconciled: DataFrame, compare: list[str], tolerance: float = 0
     return found.filter(different).withColumn("within_tolerance", F.coalesce(F.abs("delta") <= tolerance, F.lit(False)))
 
 
-def candidates(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """(left_row, right_row) of keys (left_row, key) that stand in texts (right_row, text), whatever the case; an empty key
-    is in no text. Keys meet the substrings of texts of their own length in an equi-join, so that only pairs that match are
-    formed; of keys over ``LONGEST`` characters the first ones meet, and the pairs are tested."""
-    lowered = keys.select("left_row", F.lower("key").alias("key")).filter(F.length("key") > 0)
-    size = F.least(F.length("key"), F.lit(LONGEST))
-    sizes = [r[0] for r in lowered.select(size.alias("n")).distinct().collect()]  # at most LONGEST
+def shaped(text: Column, letters: bool) -> Column:
+    """A text with every digit as 0 and, if ``letters``, every letter of a to z as a."""
+    return F.translate(text, "123456789" + LETTERS * letters, "0" * 9 + "a" * 26 * letters)
+
+
+def shapes(heads: DataFrame) -> tuple[bool, list[str]] | None:
+    """The shapes of the column gram: with their letters, else without; None if there are over ``SHAPES`` of either."""
+    for letters in (False, True):
+        found = [r[0] for r in heads.select(shaped(F.col("gram"), letters)).distinct().limit(SHAPES + 1).collect()]
+        if len(found) <= SHAPES:
+            return letters, found
+    return None
+
+
+def grams(heads: DataFrame, texts: DataFrame) -> DataFrame:
+    """(right_row, text, gram) of the substrings of texts that may equal a gram of ``heads``: those of the same length and, if
+    these are few, the same shape. The text is there beside grams of ``LONGEST`` characters only."""
+    known = shapes(heads)
+    sizes = {len(s) for s in known[1]} if known else {r[0] for r in heads.select(F.length("gram")).distinct().collect()}  # at most LONGEST
     t = F.lower("text")
 
-    def pieces(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
-        return F.when(F.length(t) >= n, cut).otherwise(F.array().cast("array<string>"))
+    def pieces(text: Column, shape: Column | None, n: int) -> Column:
+        at = F.sequence(F.lit(1), F.length(text) - n + 1)
+        if known:
+            alike = [s for s in known[1] if len(s) == n]
+            at = F.filter(at, lambda i: F.substring(shape, i, F.lit(n)).isin(*alike))
+        cut = F.transform(at, lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
 
-    grams = texts.select("right_row", "text", F.explode(F.array_distinct(F.flatten(F.array(*map(pieces, sizes))))).alias("gram")) if sizes else texts.select("right_row", "text", F.lit("").alias("gram")).limit(0)
-    met = lowered.withColumn("gram", F.substring("key", F.lit(1), size)).join(grams, "gram")
-    return met.filter((F.length("key") <= LONGEST) | F.contains(F.lower("text"), F.col("key"))).select("left_row", "right_row")
+    if not sizes:
+        return texts.select("right_row", "text", F.lit("").alias("gram")).limit(0)
+    every = lambda r: F.array_distinct(F.flatten(F.array(*(pieces(r["text"], r["shape"], n) for n in sorted(sizes)))))
+    row = F.struct(t.alias("text"), (shaped(t, known[0]) if known else F.lit("")).alias("shape"))
+    found = texts.select("right_row", "text", F.explode(bind(row, every)).alias("gram"))
+    return found.withColumn("text", F.when(F.length("gram") == LONGEST, F.lower("text")))
+
+
+def candidates(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(left_row, right_row) of keys (left_row, key) that stand in texts (right_row, text), whatever the case; an empty key
+    is in no text. Keys meet the substrings of texts of their own length and shape in an equi-join, so that only pairs that
+    match are formed; of keys over ``LONGEST`` characters the first ones meet, and the pairs are tested."""
+    lowered = keys.select("left_row", F.lower("key").alias("key")).filter(F.length("key") > 0)
+    heads = lowered.select("left_row", F.substring("key", 1, LONGEST).alias("gram"), F.when(F.length("key") > LONGEST, F.col("key")).alias("key"))
+    met = heads.join(grams(heads, texts), "gram")
+    return met.filter(F.col("key").isNull() | F.contains("text", "key")).select("left_row", "right_row")
 
 
 def claims(edges: DataFrame) -> DataFrame:
@@ -148,14 +181,14 @@ def reconcile_contains(left: DataFrame, right: DataFrame, key: str, text: str, l
     other = right.select(F.col(right_row).alias("right_row"), transformed(F.col(text), how).alias("text"), *(F.col(c).alias(f"right_{c}") for c in compare))
     found = claims(candidates(own.select("left_row", "key"), other.select("right_row", "text")))
     claimed = found.filter("n_candidates = 1").select("right_row")
-    mine = own.join(found, "left_row", "left").join(other.drop("text"), "right_row", "left")
+    turn = F.row_number().over(Window.partitionBy("left_row").orderBy("right_row")) - 1
+    ambiguous = found.filter("n_candidates > 1").withColumn("candidate_index", turn)
+    placed = found.filter("n_candidates = 1").withColumn("candidate_index", F.lit(0)).unionByName(ambiguous)
+    mine = own.join(placed, "left_row", "left").join(other.drop("text"), "right_row", "left")
     theirs = other.join(claimed, "right_row", "left_anti").withColumn("key", F.col("text")).drop("text")
     both = compared(mine.unionByName(theirs, allowMissingColumns=True), compare, dict(left.dtypes), tolerance)
     status = F.when(F.col("left_row").isNull(), "only_right").when(F.col("n_candidates").isNull(), "only_left").when(F.col("n_candidates") > 1, "ambiguous").when(F.col("_differs"), "diff").otherwise("matched")
-    turn = F.row_number().over(Window.partitionBy("left_row").orderBy("right_row")) - 1
-    ambiguous = both.filter("n_candidates > 1").withColumn("candidate_index", turn)
-    rest = both.filter("coalesce(n_candidates, 1) = 1").withColumn("candidate_index", F.lit(0))
-    return settled(rest.unionByName(ambiguous).withColumns({"status": status, "n_candidates": F.coalesce("n_candidates", F.lit(0))}))
+    return settled(both.withColumns({"status": status, "n_candidates": F.coalesce("n_candidates", F.lit(0)), "candidate_index": F.coalesce("candidate_index", F.lit(0))}))
 
 
 def exported(outcomes: DataFrame, left: DataFrame, right: DataFrame, status: str, side: str, left_row: str, right_row: str) -> DataFrame:

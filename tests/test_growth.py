@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tabulon.functions import call, distributions, financial, number, string, tests_of_samples
+from tabulon.operators import reconcile
 from tabulon.plans import catalogue_queries
 
 
@@ -106,3 +107,20 @@ def test_declining_balances_of_many_rows():
 def test_payment_stands_outside_the_periods_of_cumulated_sums(spark):
     df = spark.createDataFrame([(0.01,)], "r double")
     assert planned(df.select(call("CUMPRINC", number("r"), 24, 1000, 3, 9, 0).named("v"))).count("POWER(") <= 30
+
+
+@pytest.mark.parametrize("most", [1000, 3, 0])  # shapes of letters and digits, of classes of characters, and none
+def test_keys_meet_texts_of_their_shape(spark, monkeypatch, most):
+    monkeypatch.setattr(reconcile, "SHAPES", most)
+    keys = [(1, "Order 12;"), (2, "order 123;"), (3, "é7"), (4, "x" * 70), (5, ""), (6, None), (7, "order 12;")]
+    texts = [(1, "paid ORDER 12; and order 123; twice: order 12;"), (2, "É7é8"), (3, "y" + "X" * 69), (4, "z" + "X" * 71), (5, None), (6, "7"), (7, "order 1234567;")]
+    left, right = spark.createDataFrame(keys, "left_row int, key string"), spark.createDataFrame(texts, "right_row int, text string")
+    got = sorted(map(tuple, reconcile.candidates(left, right).collect()))
+    assert got == sorted((i, j) for i, k in keys for j, t in texts if k and t and k.lower() in t.lower())
+
+
+def test_only_substrings_of_a_shape_of_keys_are_sent(spark):
+    keys = spark.range(200).selectExpr("concat('order ', id, ';') as gram")
+    texts = spark.range(200).selectExpr("id as right_row", "concat('paid for ORDER ', id, '; thanks') as text")
+    sent = reconcile.grams(keys, texts)
+    assert sent.count() == 200 and sent.filter("text is not null").count() == 0
