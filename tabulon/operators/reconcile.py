@@ -156,19 +156,27 @@ def candidates(keys: DataFrame, texts: DataFrame) -> DataFrame:
 
 def claims(edges: DataFrame) -> DataFrame:
     """(left_row, right_row, n_candidates): what every left row finds if they come in order and a left row with one candidate
-    claims it. A round decides all left rows that no earlier open one shares a candidate with; rounds end with the edges."""
+    claims it. A round decides all left rows that no earlier open one shares a candidate with; rounds end with the edges.
+    A round deals the edges twice, by right rows and by left rows; a third time only what it leaves open."""
     edges, decided = stage(edges, "edges"), []
+    first, own = F.min("left_row").over(Window.partitionBy("right_row")), Window.partitionBy("left_row")
     while not edges.isEmpty():
-        first = edges.groupBy("right_row").agg(F.min("left_row").alias("first"))
-        state = edges.join(first, "right_row").groupBy("left_row").agg(F.bool_and(F.col("left_row") == F.col("first")).alias("free"), F.count("*").alias("n_candidates"))
-        now = stage(edges.join(state.filter("free").drop("free"), "left_row"), "decided")
+        marked = edges.select("left_row", "right_row", (F.col("left_row") == first).alias("mine"))
+        state = stage(marked.select("left_row", "right_row", F.count("*").over(own).alias("n_candidates"), F.min("mine").over(own).alias("free")), "decided")
+        discard(edges)
+        now, edges = state.filter("free").drop("free"), state.filter("not free").select("left_row", "right_row")
         decided.append(now)
-        rest = edges.join(now.select("left_row").distinct(), "left_row", "left_anti")
-        before, edges = edges, stage(rest.join(now.filter("n_candidates = 1").select("right_row"), "right_row", "left_anti"), "edges")
-        discard(before)
+        if not edges.isEmpty():
+            edges = stage(edges.join(now.filter("n_candidates = 1").select("right_row"), "right_row", "left_anti"), "edges")
     return reduce(DataFrame.union, decided) if decided else edges.withColumn("n_candidates", F.lit(0).cast("long"))
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """The claims of ambiguous left rows with candidate_index, in the order of right rows."""
+    turn = F.row_number().over(Window.partitionBy("left_row").orderBy("right_row")) - 1
+    return found.filter("n_candidates > 1").withColumn("candidate_index", turn)
+
+
 def reconcile_contains(left: DataFrame, right: DataFrame, key: str, text: str, left_row: str, right_row: str, compare: list[str] = (), tolerance: float = 0.0, how: str = "none") -> DataFrame:
     """Left keys that stand in right texts: (left_row, right_row, key, status, material, n_candidates, candidate_index, one
     left_, right_ and delta_ column a compared one).
@@ -181,9 +189,7 @@ def reconcile_contains(left: DataFrame, right: DataFrame, key: str, text: str, l
     other = right.select(F.col(right_row).alias("right_row"), transformed(F.col(text), how).alias("text"), *(F.col(c).alias(f"right_{c}") for c in compare))
     found = claims(candidates(own.select("left_row", "key"), other.select("right_row", "text")))
     claimed = found.filter("n_candidates = 1").select("right_row")
-    turn = F.row_number().over(Window.partitionBy("left_row").orderBy("right_row")) - 1
-    ambiguous = found.filter("n_candidates > 1").withColumn("candidate_index", turn)
-    placed = found.filter("n_candidates = 1").withColumn("candidate_index", F.lit(0)).unionByName(ambiguous)
+    placed = found.filter("n_candidates = 1").withColumn("candidate_index", F.lit(0)).unionByName(numbered(found))
     mine = own.join(placed, "left_row", "left").join(other.drop("text"), "right_row", "left")
     theirs = other.join(claimed, "right_row", "left_anti").withColumn("key", F.col("text")).drop("text")
     both = compared(mine.unionByName(theirs, allowMissingColumns=True), compare, dict(left.dtypes), tolerance)
@@ -208,6 +214,19 @@ def exported(outcomes: DataFrame, left: DataFrame, right: DataFrame, status: str
     return joined.select("_status", "_key", *left.columns, *named.columns, "_candidate_count", "_candidate_index")
 
 
+def exported_ambiguous(left: DataFrame, right: DataFrame, key: str, text: str, left_row: str, right_row: str, how: str = "none") -> DataFrame:
+    """What ``exported`` gives of both sides of the ambiguous keys of ``reconcile_contains``. Their outcomes need neither
+    values to compare nor the keys that are not ambiguous: the claims meet each table once."""
+    keys = left.select(F.col(left_row).alias("left_row"), transformed(F.col(key), how).alias("key"))
+    texts = right.select(F.col(right_row).alias("right_row"), transformed(F.col(text), how).alias("text"))
+    several = numbered(claims(candidates(keys, texts)))
+    head = several.select(F.lit("ambiguous").alias("_status"), F.col("left_row").alias("_left"), F.col("right_row").alias("_right"), F.col("n_candidates").alias("_candidate_count"), F.col("candidate_index").alias("_candidate_index"))
+    mine = head.join(left, F.col("_left") == F.col(left_row)).select("_status", transformed(F.col(key), how).alias("_key"), *left.columns, "_right", "_candidate_count", "_candidate_index")
+    named = right.select(*(F.col(c).alias(f"right_{c}") for c in right.columns))
+    joined = mine.join(named, F.col("_right") == F.col(f"right_{right_row}"))
+    return joined.select("_status", "_key", *left.columns, *named.columns, "_candidate_count", "_candidate_index")
+
+
 def contained(left: DataFrame, right: DataFrame, key: str, text: str, how: str = "alnum") -> DataFrame:
     """(left_key, n_candidates): right rows whose transformed text holds the left key, whatever the case."""
     keys = left.select(F.upper(transformed(F.col(key), how)).alias("left_key")).filter(F.length("left_key") > 0)

@@ -5,7 +5,7 @@ import pytest
 
 from tabulon.functions import call, distributions, financial, number, string, tests_of_samples
 from tabulon.operators import reconcile
-from tabulon.plans import catalogue_queries
+from tabulon.plans import QUERIES, catalogue_queries
 
 
 def planned(df) -> str:
@@ -124,3 +124,22 @@ def test_only_substrings_of_a_shape_of_keys_are_sent(spark):
     texts = spark.range(200).selectExpr("id as right_row", "concat('paid for ORDER ', id, '; thanks') as text")
     sent = reconcile.grams(keys, texts)
     assert sent.count() == 200 and sent.filter("text is not null").count() == 0
+
+
+def test_ambiguous_export_meets_each_table_once(spark):
+    assert planned(QUERIES["reconcile_export_both"](spark, "/root/testdata/sf0.001")).count("Join") == 2
+    keys = [(i, f"k{i % 7};") for i in range(9)] + [(9, "none"), (10, None)]
+    texts = [(i, f"{'again ' * (i % 2)}K{i % 9};" + " k3;" * (i == 5)) for i in range(14)] + [(14, None)]
+    left, right = spark.createDataFrame(keys, "l int, key string"), spark.createDataFrame(texts, "r int, text string")
+    whole = reconcile.exported(reconcile.reconcile_contains(left, right, "key", "text", "l", "r"), left, right, "ambiguous", "both", "l", "r")
+    short = reconcile.exported_ambiguous(left, right, "key", "text", "l", "r")
+    assert short.dtypes == whole.dtypes
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, whole.collect())) != []
+
+
+def test_claims_of_one_round_need_no_join(spark, monkeypatch):
+    plans, real = [], reconcile.stage
+    monkeypatch.setattr(reconcile, "stage", lambda df, name: plans.append(planned(df)) or real(df, name))
+    edges = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (4, 3), (5, 4), (6, 4)], "left_row long, right_row long")
+    assert sorted(map(tuple, reconcile.claims(edges).collect())) == [(1, 1, 1), (2, 2, 2), (2, 3, 2), (4, 3, 1), (5, 4, 1)]
+    assert len(plans) == 4 and "Join" not in plans[1]  # the edges, a round, what it leaves open and a round that decides it
