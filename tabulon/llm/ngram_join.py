@@ -10,8 +10,9 @@ out leave early, and the sum decides.
 Equal sets form one class first, so that copies cost nothing. A block of similar documents does not need all its pairs:
 only components are asked for. First every member is compared with one hub of the block; components follow; then, in
 further rounds, with another hub where a block still spans several components; and last all pairs that still join
-different components. Pairs inside a component are never formed, so groups of near copies take linear work, and no link
-between different components is missed.
+different components. Pairs inside a component are never formed, nor those across components whose sketches of parities
+differ too much: bits of two sets differ in no more places than the sets, so that members of a group of near copies that
+are not linked are told apart before their pair is formed, and no link between different components is missed.
 
 A null, empty or blank text has no shingle and is linked with nothing, not even its like; a null doc_id is linked with
 nothing and has a null component; repeated rows are copies; an empty table gives an empty result; other columns are
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +45,8 @@ BROADCAST_ROWS = 2_000_000
 LISTED = 1024
 #: The first block of the product holds the shingles whose first bits are 0: a quarter of them. All others are the second.
 BLOCK_BITS = 2
+#: Bits of parity a shingle, and of a set at least and at most (powers of two); of larger sets they rule out less.
+PARITY_BITS, LEAST_BITS, MOST_BITS = 4, 64, 16384
 #: Members of a block that meet its others in one task.
 PART = 2000
 #: Members of a block whose pairs are formed without lists at most.
@@ -56,6 +59,7 @@ PROFILE = T.StructType([
     T.StructField("node", T.LongType()),
     T.StructField("check", T.LongType()),
     T.StructField("prefix", T.ArrayType(T.LongType())),
+    T.StructField("parity", T.ArrayType(T.LongType())),
 ])
 PIECE = T.StructType([
     T.StructField("node", T.LongType()),
@@ -92,6 +96,21 @@ def shingles(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed(total[whole] + size[whole].astype(np.uint64)), doc[whole]
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bits by the low bits of hashes: whether an odd number of them fell there. Of a set, as 64-bit words."""
+    bits = min(max(LEAST_BITS, 1 << (PARITY_BITS * len(hashes) - 1).bit_length()), MOST_BITS)
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def unlike(x: Column, y: Column) -> Column:
+    """Places where two parities differ: at most the number of shingles that one of the sets has alone. The longer one is
+    folded; of sets whose sizes fit, it has twice the words at most."""
+    words = F.least(F.size(x), F.size(y))
+    fold = lambda p: F.when(F.size(p) == words, p).when(F.size(p) == 2 * words, F.zip_with(F.slice(p, 1, words), F.slice(p, words + 1, words), lambda a, b: a.bitwiseXOR(b)))
+    return F.aggregate(F.zip_with(fold(x), fold(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+
+
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Counts of shingles by the low bits of their hashes. Tasks add up their own; blocks of counters are summed apart."""
     width, block = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_BLOCKS
@@ -125,7 +144,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Size, class and prefix of every document's set; a task gives the prefix of a class once."""
+    """Size, class, prefix and parity of every document's set; a task gives the last two of a class once."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, k))
     out = arrow_schema(PROFILE)
 
@@ -141,7 +160,7 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
             first = np.cumsum(size) - size
             rank = counts.value[(hashes & np.uint64(len(counts.value) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(32)
             ordered = hashes[np.lexsort((rank, doc))]  # a stable sort: equal ranks stay in the order of their hashes
-            nodes, checks, prefixes = [], [], []
+            nodes, checks, prefixes, parities = [], [], [], []
             for i, n in zip(first.tolist(), size.tolist()):
                 node, check = struct.unpack("<qq", hashlib.blake2b(hashes[i : i + n].tobytes(), digest_size=16).digest()) if n else (None, None)
                 fresh = n and (node, check) not in seen
@@ -149,7 +168,8 @@ def profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 nodes.append(node)
                 checks.append(check)
                 prefixes.append(ordered[i : i + n - -(-percent * n // 100) + 1].view(np.int64) if fresh else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], schema=out)
+                parities.append(parity(hashes[i : i + n]) if fresh else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))], schema=out)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, PROFILE)
 
@@ -263,7 +283,7 @@ def labelled(docs: DataFrame, k: int, percent: int, rounds: int, doc_id: str, te
             met = open_.join(hub, "shingle").filter((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n")))
             new = met.select(*pair(F.col("node"), F.col("hub.node"))).distinct()
         else:
-            new = overlapping(open_, percent)
+            new = overlapping(open_, named.filter("parity is not null").select("node", "parity"), percent)
         new = stage(new.join(tried, ["a", "b"], "left_anti"), "pairs")
         passed += [open_, new]
         tried = tried.union(new)
@@ -276,7 +296,7 @@ def labelled(docs: DataFrame, k: int, percent: int, rounds: int, doc_id: str, te
     first = classes.select("node", "first").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = first.groupBy("component").agg(F.min("first").alias("first"))
     of_node = first.select("node", "component").join(least, "component").select("node", "first")
-    return rows.drop("prefix").join(of_node, "node", "left")
+    return rows.drop("prefix", "parity").join(of_node, "node", "left")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,22 +312,25 @@ def spanning(links: DataFrame, label: DataFrame) -> DataFrame:
     return stage(marked.join(several, "shingle").select("shingle", "node", "n", "component", "members"), "open")
 
 
-def overlapping(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components whose overlap can reach the bound.
+def overlapping(open_: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components whose overlap can reach the bound. ``parities`` holds (node, parity) once or more.
 
     In large blocks a pair is formed once, at the least large block that has both, and the number of such blocks, with
     the small blocks of either, bounds its overlap inside both prefixes. All other common shingles lie behind the prefix
     that ends first, so that the overlap is at most that number plus what stands behind the longer rest. Small blocks, and
     nodes with very many shingles in large ones, do not carry lists along: their pairs are formed at every common shingle
-    and put together afterwards.
+    and put together afterwards. Members of large blocks carry their parity, which bounds the difference of the whole sets.
     """
     large = F.col("members") > SMALL_BLOCK
     own = open_.groupBy("node").agg(F.collect_set(F.when(large, F.col("shingle"))).alias("own"), F.count_if(~large).alias("few"))
+    crowded = open_.filter(large).select("node").distinct()
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    own = own.join(parities.join(crowded, "node", "left_semi").dropDuplicates(["node"]), "node", "left")
     listed = F.when(large & (F.size("own") <= LISTED), F.col("own"))
-    rows = stage(open_.join(own, "node").select("shingle", "node", "n", "component", "members", "few", listed.alias("own")), "open")
+    rows = stage(open_.join(own, "node").select("shingle", "node", "n", "component", "members", "few", listed.alias("own"), F.when(large, F.col("parity")).alias("parity")), "open")
     parts = F.ceil(F.col("members") / PART).cast("int")  # of a block: its members are dealt on one side, repeated on the other
     dealt = {"a": F.pmod(F.xxhash64("node"), parts).cast("int"), "b": F.explode(F.sequence(F.lit(0), parts - 1))}
-    x, y = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in ("shingle", "node", "n", "component", "few", "own")), dealt[side].alias(f"part_{side}")) for side in "ab")
+    x, y = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in ("shingle", "node", "n", "component", "few", "own", "parity")), dealt[side].alias(f"part_{side}")) for side in "ab")
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     rest = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / 100) - 1
     common = F.array_intersect("own_a", "own_b")
@@ -315,6 +338,8 @@ def overlapping(open_: DataFrame, percent: int) -> DataFrame:
     enough = ~listed | (F.when(F.size(common) + F.least("few_a", "few_b") + rest >= need, F.array_min(common)) == F.col("shingle_a"))
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     possible = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & sizes & F.coalesce(enough, F.lit(False))
+    near = (100 + percent) * unlike(F.col("parity_a"), F.col("parity_b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    possible &= F.coalesce(near, F.lit(True))
     met = x.join(y, (F.col("shingle_a") == F.col("shingle_b")) & (F.col("part_a") == F.col("part_b")) & possible)
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 

@@ -211,3 +211,33 @@ def test_op2_on_nothing(spark):
     assert {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(empty).collect()} == {(1, 1), (2, 2)}
     assert repetition.repetition_rules(empty).filter(F.col("n_words") > 0).count() == 0
 
+
+
+def test_group_of_unlinked_near_copies_forms_few_pairs(spark, monkeypatch):
+    """One large block whose members differ from one another by 0 to 8 words of a common base; most are not linked."""
+    rnd, rows = random.Random(7), []
+    for i in range(240):
+        w = [f"b{j}" for j in range(120)]
+        for _ in range(i % 5):
+            w[rnd.randrange(120)] = f"u{rnd.randint(0, 10**9)}"
+        rows.append((i, " ".join(w)))
+    sizes, real = [], ngram_join.linked
+    monkeypatch.setattr(ngram_join, "linked", lambda pairs, *more: sizes.append(pairs.count()) or real(pairs, *more))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own, first = [{tuple(t.split()[i : i + 5]) for i in range(116)} for _, t in rows], list(range(240))
+    links = [(i, j) for i in range(240) for j in range(i) if 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j])]
+    for _ in range(240):
+        for i, j in links:
+            first[i] = first[j] = min(first[i], first[j])
+    assert got == dict(enumerate(first)) and 20 < len(set(first)) < 220
+    assert sizes[-1] <= 2 * 240
+
+
+def test_parities_differ_in_no_more_places_than_sets(spark):
+    rnd, rows = np.random.default_rng(3), []
+    for n, apart in [(1, 0), (10, 4), (16, 3), (17, 2), (100, 30), (130, 8), (4100, 900), (9000, 200)]:
+        x = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = np.r_[x[: len(x) - apart // 2], rnd.integers(0, 1 << 63, apart - apart // 2, dtype=np.uint64)]
+        rows.append((apart, ngram_join.parity(x).tolist(), ngram_join.parity(y).tolist()))
+    found = spark.createDataFrame(rows, "apart int, x array<long>, y array<long>").select("apart", ngram_join.unlike(F.col("x"), F.col("y")).alias("n")).collect()
+    assert all(0.7 * r["apart"] <= r["n"] <= r["apart"] for r in found)
