@@ -46,7 +46,7 @@ LISTED = 1024
 #: The first block of the product holds the shingles whose first bits are 0: a quarter of them. All others are the second.
 BLOCK_BITS = 2
 #: Bits of parity a shingle, and of a set at least and at most (powers of two); of larger sets they rule out less.
-PARITY_BITS, LEAST_BITS, MOST_BITS = 4, 64, 16384
+PARITY_BITS, LEAST_BITS, MOST_BITS = 2, 64, 16384
 #: Members of a block that meet its others in one task.
 PART = 2000
 #: Members of a block whose pairs are formed without lists at most.
