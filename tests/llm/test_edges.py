@@ -235,7 +235,7 @@ def test_group_of_unlinked_near_copies_forms_few_pairs(spark, monkeypatch):
 
 def test_parities_differ_in_no_more_places_than_sets(spark):
     rnd, rows = np.random.default_rng(3), []
-    for n, apart in [(1, 0), (10, 4), (16, 3), (17, 2), (100, 30), (130, 8), (4100, 900), (9000, 200)]:
+    for n, apart in [(1, 0), (10, 4), (16, 3), (17, 2), (32, 3), (100, 30), (130, 8), (4100, 900), (9000, 200)]:
         x = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
         y = np.r_[x[: len(x) - apart // 2], rnd.integers(0, 1 << 63, apart - apart // 2, dtype=np.uint64)]
         rows.append((apart, ngram_join.parity(x).tolist(), ngram_join.parity(y).tolist()))
